@@ -40,17 +40,13 @@ def _keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
-    return reduce(
-        lambda a, b: a & b,
-        [left[name].eqNullSafe(right[f"{prefix}{name}"]) for name in names],
-    )
-
-
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe left join with a table of bounded size, dropping its keys."""
     renamed = small.withColumnsRenamed({key: f"__r_{key}" for key in keys})
-    joined = df.join(F.broadcast(renamed), _same(df, renamed, keys, "__r_"), "left")
+    same = reduce(
+        lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"__r_{key}")) for key in keys]
+    )
+    joined = df.join(F.broadcast(renamed), same, "left")
     return joined.drop(*[f"__r_{key}" for key in keys])
 
 

@@ -8,6 +8,7 @@ wanted rank, and only that bin (about one in 65,536 rows) is ordered.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,27 +61,19 @@ def lowest(
     df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame, out: str = "selected"
 ) -> DataFrame:
     """Flag the ``wanted`` rows with the lowest keys of each stratum."""
-    cuts = broadcast_if_small(cut_keys(df, strata, key, wanted))
-    renamed = cuts.withColumnsRenamed({s: f"__c_{s}" for s in strata})
-    same = F.lit(True)
-    for s in strata:
-        same = same & (F.col(s) == F.col(f"__c_{s}"))
-    joined = df.join(F.broadcast(renamed) if _hinted(cuts) else renamed, same, "left")
+    cuts = cut_keys(df, strata, key, wanted).withColumnsRenamed({s: f"__c_{s}" for s in strata})
+    same = reduce(lambda a, b: a & b, [F.col(s) == F.col(f"__c_{s}") for s in strata])
+    joined = df.join(broadcast_if_small(cuts), same, "left")
     flag = F.coalesce(F.col(key) <= F.col("cut_key"), F.lit(False))
     return joined.withColumn(out, flag).drop("cut_key", *[f"__c_{s}" for s in strata])
 
 
-def _hinted(df: DataFrame) -> bool:
-    return df._jdf.queryExecution().logical().nodeName() == "ResolvedHint"
-
-
 def balanced_sample(df: DataFrame, split: str, label: str, record_id: str, seed: int) -> DataFrame:
     """All positives, and as many negatives from the same split."""
     keyed = df.withColumn("__key", seeded_key(seed, F.col(record_id)))
     wanted = keyed.groupBy(split).agg(F.count_if(F.col(label)).alias("wanted"))
-    negatives = keyed.filter(~F.col(label))
-    cuts = broadcast_if_small(cut_keys(negatives, [split], "__key", wanted))
-    cuts = cuts.withColumnRenamed(split, "__c_split")
+    cuts = cut_keys(keyed.filter(~F.col(label)), [split], "__key", wanted)
+    cuts = broadcast_if_small(cuts.withColumnRenamed(split, "__c_split"))
     joined = keyed.join(cuts, F.col(split) == F.col("__c_split"), "left")
     chosen = F.col(label) | F.coalesce(F.col("__key") <= F.col("cut_key"), F.lit(False))
     return joined.filter(chosen).drop("__key", "__c_split", "cut_key")

@@ -8,10 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepguard.functions.hashing import MODULUS, mixed_uniform, seeded_integer
 from stepguard.session import checkpointed
 
 EULER = 0.5772156649015329
@@ -55,6 +54,11 @@ def grow_tree(tree: int, rows: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
 
 
+def _uniform(*columns: str, salt: str) -> Column:
+    """A uniform number in [0, 1) that depends on the row only."""
+    return F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(2**53)) / float(2**53)
+
+
 def tree_samples(
     df: DataFrame, record_id: str, features: str, trees: int, sample_rows: int, seed: int
 ) -> DataFrame:
@@ -69,16 +73,17 @@ def tree_samples(
     copies = max(1, -(-3 * wanted // (2 * max(total, 1))))
     copies = min(copies, trees)
     keep = min(1.0, 1.5 * wanted / max(total * copies, 1))
-    based = df.select(
-        F.col(features), seeded_integer(seed, F.col(record_id)).alias("base")
-    ).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("bigint"))
-    drawn = based.filter(mixed_uniform(F.col("base"), F.col("copy") * 2 + 1) < keep)
+    spread = df.select(
+        record_id, features, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    )
+    drawn = spread.filter(_uniform(record_id, "copy", salt=f"{seed}-keep") < keep)
     # The copies of a row go to different trees: they start at a random tree and step by one.
-    tree = ((F.floor(mixed_uniform(F.col("base"), F.lit(0)) * trees) + F.col("copy")) % trees).cast("int")
-    rank = F.struct(mixed_uniform(F.col("base"), F.col("copy") * 2 + 2 + MODULUS // 2), "base", "copy")
-    placed = drawn.select(tree.alias("tree"), rank.alias("rank"), features)
-    from pyspark.sql import Window
-
+    start = F.floor(_uniform(record_id, salt=f"{seed}-tree") * trees)
+    placed = drawn.select(
+        ((start + F.col("copy")) % trees).cast("int").alias("tree"),
+        F.struct(_uniform(record_id, "copy", salt=f"{seed}-rank"), record_id, "copy").alias("rank"),
+        features,
+    )
     window = Window.partitionBy("tree").orderBy("rank")
     return (
         placed.withColumn("place", F.row_number().over(window))

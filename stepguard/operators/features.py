@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from stepguard.functions.numbers import one_hot, or_zero, previous_or_current
 
 
+def feature_names(channels: Sequence[str], states: Sequence) -> list[str]:
+    """Names of the feature columns, in vector order."""
+    names = [f"state_{value}" for value in states] + ["state_other"]
+    for name in channels:
+        names += [f"f_{name}", f"f_previous_{name}", f"f_{name}_diff"]
+    return names + ["has_previous"]
+
+
 def feature_columns(
     channels: Sequence[str], states: Sequence, state: str = "state"
 ) -> dict[str, Column]:

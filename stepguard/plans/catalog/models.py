@@ -1 +1,98 @@
-"""To be filled."""
+"""Features and forests on the labelled events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stepguard.operators.features import assemble, feature_columns, feature_names, standardised
+from stepguard.plans import events as ev
+from stepguard.plans.baselines import isolation_forest_baseline, random_forest_baseline
+from stepguard.plans.catalog.registry import LAB, query
+from stepguard.session import checkpointed
+
+FEATURES = feature_names(ev.CHANNELS, ev.STATES)
+
+
+def feature_rows(spark, folder) -> DataFrame:
+    return assemble(
+        ev.labelled_events(spark, folder), feature_columns(ev.CHANNELS, ev.STATES)
+    )
+
+
+_FEATURES = LAB + """, ft AS (SELECT event_id, split, is_anomaly, [
+        (state = 'purchase')::INT::DOUBLE, (state = 'error')::INT::DOUBLE,
+        (state NOT IN ('purchase', 'error'))::INT::DOUBLE,
+        coalesce(value, 0), coalesce(previous_value, value, 0), coalesce(value_diff, 0),
+        coalesce(k, 0), coalesce(previous_k, k, 0), coalesce(k_diff, 0),
+        (previous_value IS NOT NULL AND previous_k IS NOT NULL)::INT::DOUBLE] AS x FROM lab)
+"""
+
+
+@query(
+    "i01_feature_vector",
+    _FEATURES + """SELECT event_id, len(x) AS size, round(list_sum(list_transform(x, lambda v, i: v * i)), 4)
+      AS weighted FROM ft""",
+)
+def i01(spark, folder):
+    weighted = F.aggregate(
+        F.transform("features", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b
+    )
+    return feature_rows(spark, folder).select(
+        "event_id",
+        F.size("features").cast("bigint").alias("size"),
+        F.round(weighted, 4).alias("weighted"),
+    )
+
+
+@query(
+    "i02_standardised_on_normal_rows",
+    _FEATURES + """, lg AS (SELECT event_id, split, is_anomaly, unnest(x) AS v, generate_subscripts(x, 1) AS i
+        FROM ft),
+      st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM lg WHERE split = 'train' AND NOT is_anomaly
+        GROUP BY i)
+      SELECT event_id, round(sum(i * (v - m) / CASE WHEN s > 0 THEN s ELSE 1 END), 4) AS weighted
+      FROM lg JOIN st USING (i) GROUP BY event_id""",
+)
+def i02(spark, folder):
+    fit = (F.col("split") == "train") & ~F.col("is_anomaly")
+    df = standardised(feature_rows(spark, folder), "features", len(FEATURES), fit, "scaled")
+    weighted = F.aggregate(
+        F.transform("scaled", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b
+    )
+    return df.select("event_id", F.round(weighted, 4).alias("weighted"))
+
+
+def _inputs(spark, folder) -> DataFrame:
+    return checkpointed(
+        feature_rows(spark, folder).select(
+            F.col("event_id").alias("record_id"),
+            "split",
+            F.col("is_anomaly").alias("gold"),
+            "features",
+        )
+    )
+
+
+@query("i03_isolation_forest")
+def i03(spark, folder):
+    predictions, _ = isolation_forest_baseline(
+        _inputs(spark, folder), len(FEATURES), trees=100, sample_rows=256
+    )
+    return predictions
+
+
+@query("i04_random_forest_importance")
+def i04(spark, folder):
+    _, _, importance = random_forest_baseline(
+        _inputs(spark, folder), FEATURES, trees=30, depth=8
+    )
+    return importance
+
+
+@query("i05_baseline_comparison")
+def i05(spark, folder):
+    rows = _inputs(spark, folder)
+    _, isolation = isolation_forest_baseline(rows, len(FEATURES), trees=100, sample_rows=256)
+    _, forest, _ = random_forest_baseline(rows, FEATURES, trees=30, depth=8)
+    return isolation.unionByName(forest)

@@ -148,7 +148,7 @@ def b20(spark, folder):
       ds AS (SELECT string_agg(kept || CASE WHEN is_anomaly THEN 'yes' ELSE 'no' END, ''
         ORDER BY selection_key) AS demos FROM dm)
       SELECT event_id, 'system|user|assistant|user|assistant|user|assistant|user|assistant|user' AS roles,
-        sha256('Judge by rule.' || demos || text) AS contents FROM tx, ds WHERE split = 'test'""",
+        sha256('Judge by rule.' || demos || text) AS contents FROM tx, ds""",
 )
 def b19(spark, folder):
     texts = event_texts(spark, folder)
@@ -164,7 +164,7 @@ def b19(spark, folder):
         F.sort_array(F.collect_list(F.struct("selection_key", pair.alias("turns")))).alias("all")
     ).select(F.flatten(F.transform("all", lambda e: e["turns"])))
     messages = chat_messages(F.lit("Judge by rule."), F.col("text"), answer)
-    df = computed_once(texts.filter("split = 'test'"), {"messages": messages})
+    df = computed_once(texts, {"messages": messages})
     full = df.withColumn("messages", insert_turns(F.col("messages"), turns.scalar()))
     return full.select(
         "event_id",
@@ -350,16 +350,15 @@ def b24(spark, folder):
     "f02_signature_overlap",
     r"""SELECT count(*) AS shared FROM (
         SELECT regexp_replace(lower(line), '[^a-z]+', ' ', 'g') AS s
-          FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 20
+          FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
         INTERSECT
         SELECT regexp_replace(lower(line), '[^a-z]+', ' ', 'g')
-          FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 20)""",
+          FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark))""",
 )
 def f02(spark, folder):
     def signatures(name):
         lines = ev.table(spark, folder, name).select(F.explode(F.split("text", "\n")).alias("line"))
-        long = lines.filter(F.length("line") > 20)
-        return long.select(masked(F.lower("line"), [("[^a-z]+", " ")]).alias("s"))
+        return lines.select(masked(F.lower("line"), [("[^a-z]+", " ")]).alias("s"))
 
     return set_overlap(signatures("documents"), signatures("benchmark"))
 

@@ -36,7 +36,7 @@ def write_flagged(df: DataFrame, flag: Column, path: str) -> DataFrame:
     df.withColumn("flagged", F.coalesce(flag, F.lit(False))).write.mode(REFUSE).partitionBy(
         "flagged"
     ).parquet(path)
-    return df.sparkSession.read.parquet(path).filter("flagged").drop("flagged")
+    return df.sparkSession.read.parquet(path).filter(F.col("flagged").cast("boolean")).drop("flagged")
 
 
 def land(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:

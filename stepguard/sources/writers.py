@@ -6,16 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Observation
 
 REFUSE = "errorifexists"
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """Write JSON Lines and return the row count, taken during the write."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(REFUSE).json(path)
-    return seen.get["rows"]
+    """Write JSON Lines and return the number of lines in the published files.
+
+    The lines are counted afterwards and not observed during the write: once a
+    session has an observation, forest models can no longer be sent to tasks.
+    """
+    df.write.mode(REFUSE).json(path)
+    return df.sparkSession.read.text(path).count()
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:
@@ -45,6 +47,4 @@ def land(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Dat
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(
-        df.sparkSession.read.parquet(path).schema
-    ).parquet(path)
+    return df.sparkSession.read.parquet(path)

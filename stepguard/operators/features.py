@@ -48,24 +48,20 @@ def standardised(
 ) -> DataFrame:
     """Scale by mean and population deviation of the rows that meet ``fit_on``.
 
-    A constant feature is only centred. The statistics are one row.
+    A constant feature is only centred. It is recognised by its range, since the
+    deviation of merged partial results is not exactly zero. The statistics are
+    one row.
     """
     sample = df.filter(fit_on)
-    stats = sample.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.avg(F.get(F.col(features), F.lit(i))).alias("mean"),
-                    F.stddev_pop(F.get(F.col(features), F.lit(i))).alias("std"),
-                )
-                for i in range(size)
-            ]
-        ).alias("stats")
-    )
+
+    def statistics(i: int) -> Column:
+        value = F.get(F.col(features), F.lit(i))
+        spread = F.when(F.min(value) < F.max(value), F.stddev_pop(value)).otherwise(F.lit(1.0))
+        return F.struct(F.avg(value).alias("mean"), spread.alias("std"))
+
+    stats = sample.agg(F.array(*[statistics(i) for i in range(size)]).alias("stats"))
     table = df.withColumn("__stats", stats.scalar())
     scaled = F.zip_with(
-        F.col(features),
-        F.col("__stats"),
-        lambda x, s: (x - s["mean"]) / F.when(s["std"] > 0, s["std"]).otherwise(F.lit(1.0)),
+        F.col(features), F.col("__stats"), lambda x, s: (x - s["mean"]) / s["std"]
     )
     return table.withColumn(out, scaled).drop("__stats")

@@ -277,13 +277,16 @@ def distribution(
 def pearson(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Correlation matrix over complete rows, in one pass.
 
-    A constant feature has no correlation; its cells are null.
+    A constant feature has no correlation; its cells are null. It is recognised
+    by its range, since the deviation of merged partial results is not exactly zero.
     """
     complete = df
     for name in features:
         complete = complete.filter(F.col(name).isNotNull())
     names = list(features)
-    aggregates = [F.stddev_pop(name).alias(f"s_{name}") for name in names]
+    aggregates = [
+        F.when(F.min(name) < F.max(name), F.stddev_pop(name)).alias(f"s_{name}") for name in names
+    ]
     for i, a in enumerate(names):
         aggregates += [F.covar_pop(a, b).alias(f"c_{a}|{b}") for b in names[i + 1 :]]
     moments = complete.groupBy(*by).agg(*aggregates)

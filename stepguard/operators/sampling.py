@@ -22,61 +22,76 @@ ABOVE_ALL = "g"  # sorts behind every hex digit
 
 
 def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame) -> DataFrame:
-    """For each stratum the key below or at which exactly ``wanted`` rows lie.
+    """For each stratum the keys below or at which exactly the wanted numbers of rows lie.
 
-    ``wanted`` has (strata..., wanted). Keys must be unique hex text.
+    ``wanted`` has the strata and one column per cut; the result has the same
+    columns with the cut keys. Keys must be unique hex text.
     """
     strata = list(strata)
-    rows = df.select(*strata, F.col(key).alias("__key"), leading_bits(F.col(key), BIN_DIGITS).alias("__bin"))
+    cuts = [c for c in wanted.columns if c not in strata]
+    rows = df.select(
+        *strata, F.col(key).alias("__key"), leading_bits(F.col(key), BIN_DIGITS).alias("__bin")
+    )
     bins = rows.groupBy(*strata, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    window = Window.partitionBy(*strata).orderBy("__bin")
-    reached = (
-        bins.withColumn("__upto", F.sum("__n").over(window))
-        .join(wanted, strata)
-        .groupBy(*strata, "wanted")
-        .agg(
-            F.min(F.when(F.col("__upto") >= F.col("wanted"), F.col("__bin"))).alias("__cut_bin"),
-            F.coalesce(
-                F.max(F.when(F.col("__upto") < F.col("wanted"), F.col("__upto"))), F.lit(0)
-            ).alias("__before"),
-        )
+    upto = F.sum("__n").over(Window.partitionBy(*strata).orderBy("__bin"))
+    summary = []
+    for c in cuts:
+        inside = F.col("__upto") >= F.col(c)
+        summary.append(F.min(F.when(inside, F.col("__bin"))).alias(f"__bin_{c}"))
+        before = F.max(F.when(~inside, F.col("__upto")))
+        summary.append(F.coalesce(before, F.lit(0)).alias(f"__before_{c}"))
+    reached = broadcast_if_small(
+        bins.withColumn("__upto", upto).join(wanted, strata).groupBy(*strata, *cuts).agg(*summary)
     )
-    reached = broadcast_if_small(reached)
-    edge = (
+    at_cut = reduce(lambda a, b: a | b, [F.col("__bin") == F.col(f"__bin_{c}") for c in cuts])
+    place = F.row_number().over(Window.partitionBy(*strata, "__bin").orderBy("__key"))
+    found = []
+    for c in cuts:
+        hit = (F.col("__bin") == F.col(f"__bin_{c}")) & (
+            F.col(f"__before_{c}") + F.col("__place") == F.col(c)
+        )
+        found.append(F.max(F.when(hit, F.col("__key"))).alias(f"__edge_{c}"))
+    edges = (
         rows.join(reached, strata)
-        .filter("__bin = __cut_bin")
-        .withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__key")))
-        .filter("__before + __rank = wanted")
-        .select(*strata, F.col("__key").alias("__edge"))
+        .filter(at_cut)
+        .withColumn("__place", place)
+        .groupBy(*strata)
+        .agg(*found)
     )
-    cut = (
-        F.when(F.col("wanted") <= 0, F.lit(BELOW_ALL))
-        .when(F.col("__cut_bin").isNull(), F.lit(ABOVE_ALL))
-        .otherwise(F.col("__edge"))
-    )
-    return reached.join(edge, strata, "left").select(*strata, cut.alias("cut_key"))
+
+    def cut(c: str) -> Column:
+        return (
+            F.when(F.col(c) <= 0, F.lit(BELOW_ALL))
+            .when(F.col(f"__bin_{c}").isNull(), F.lit(ABOVE_ALL))
+            .otherwise(F.col(f"__edge_{c}"))
+            .alias(c)
+        )
+
+    return reached.join(edges, strata, "left").select(*strata, *[cut(c) for c in cuts])
 
 
-def lowest(
-    df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame, out: str = "selected"
+def _with_cuts(
+    df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame, among: DataFrame
 ) -> DataFrame:
-    """Flag the ``wanted`` rows with the lowest keys of each stratum."""
-    cuts = cut_keys(df, strata, key, wanted).withColumnsRenamed({s: f"__c_{s}" for s in strata})
-    same = reduce(lambda a, b: a & b, [F.col(s) == F.col(f"__c_{s}") for s in strata])
-    joined = df.join(broadcast_if_small(cuts), same, "left")
-    flag = F.coalesce(F.col(key) <= F.col("cut_key"), F.lit(False))
-    return joined.withColumn(out, flag).drop("cut_key", *[f"__c_{s}" for s in strata])
+    """Attach the cut keys found ``among`` some rows to all rows, as ``__cut_<name>``."""
+    cuts = cut_keys(among, strata, key, wanted)
+    renamed = cuts.withColumnsRenamed(
+        {c: f"__s_{c}" if c in strata else f"__cut_{c}" for c in cuts.columns}
+    )
+    same = reduce(lambda a, b: a & b, [F.col(s) == F.col(f"__s_{s}") for s in strata])
+    return df.join(broadcast_if_small(renamed), same, "left").drop(*[f"__s_{s}" for s in strata])
 
 
 def balanced_sample(df: DataFrame, split: str, label: str, record_id: str, seed: int) -> DataFrame:
-    """All positives, and as many negatives from the same split."""
+    """All positives, and as many negatives from the same split.
+
+    The frame is read several times, so pass a stored one.
+    """
     keyed = df.withColumn("__key", seeded_key(seed, F.col(record_id)))
-    wanted = keyed.groupBy(split).agg(F.count_if(F.col(label)).alias("wanted"))
-    cuts = cut_keys(keyed.filter(~F.col(label)), [split], "__key", wanted)
-    cuts = broadcast_if_small(cuts.withColumnRenamed(split, "__c_split"))
-    joined = keyed.join(cuts, F.col(split) == F.col("__c_split"), "left")
-    chosen = F.col(label) | F.coalesce(F.col("__key") <= F.col("cut_key"), F.lit(False))
-    return joined.filter(chosen).drop("__key", "__c_split", "cut_key")
+    wanted = keyed.groupBy(split).agg(F.count_if(F.col(label)).alias("negatives"))
+    joined = _with_cuts(keyed, [split], "__key", wanted, keyed.filter(~F.col(label)))
+    low = F.coalesce(F.col("__key") <= F.col("__cut_negatives"), F.lit(False))
+    return joined.filter(F.col(label) | low).drop("__key", "__cut_negatives")
 
 
 def stratified_row_split(
@@ -84,21 +99,22 @@ def stratified_row_split(
 ) -> DataFrame:
     """Row split with the same shares inside every label; the last split takes the rest.
 
-    Cuts are rounded half to even per label.
+    Cuts are rounded half to even per label. The frame is read several times,
+    so pass a stored one.
     """
     keyed = df.withColumn("__key", seeded_key(seed, F.col(record_id)))
-    sizes = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     *front, last = list(shares)
-    split, upto = F.lit(last), 0.0
-    flagged, marks = keyed, []
+    targets, upto = [], 0.0
     for name in front:
         upto += shares[name]
-        wanted = sizes.select(label, F.bround(F.col("n") * F.lit(round(upto, 12)), 0).cast("bigint").alias("wanted"))
-        flagged = lowest(flagged, [label], "__key", wanted, f"__in_{name}")
-        marks.append(name)
-    for name in reversed(marks):
-        split = F.when(F.col(f"__in_{name}"), F.lit(name)).otherwise(split)
-    return flagged.withColumn("split", split).drop("__key", *[f"__in_{n}" for n in marks])
+        target = F.bround(F.col("__n") * F.lit(round(upto, 12)), 0).cast("bigint")
+        targets.append(target.alias(name))
+    joined = _with_cuts(keyed, [label], "__key", sizes.select(label, *targets), keyed)
+    split = F.lit(last)
+    for name in reversed(front):
+        split = F.when(F.col("__key") <= F.col(f"__cut_{name}"), F.lit(name)).otherwise(split)
+    return joined.withColumn("split", split).drop("__key", *[f"__cut_{n}" for n in front])
 
 
 def seeded_order(df: DataFrame, record_id: str, seed: int) -> DataFrame:

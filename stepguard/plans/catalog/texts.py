@@ -23,7 +23,7 @@ from stepguard.operators.evaluate import overrides
 from stepguard.operators.rules import fires
 from stepguard.operators.sampling import lowest_per_label
 from stepguard.operators.splits import set_overlap
-from stepguard.operators.stage import computed_once
+from stepguard.operators.stage import computed_once, read_once
 from stepguard.plans import cycler as cy
 from stepguard.plans import events as ev
 from stepguard.plans.catalog.registry import LAB, query
@@ -290,7 +290,7 @@ def b32(spark, folder):
     rules = [r for r in cy.RULES if r.kind == "jump"]
     stored = {f"stored_{c}": F.col(f"{c}_diff") for c in cy.CHANNELS}
     kept = computed_once(df.select("record_id", "text", *[c.alias(n) for n, c in stored.items()]), {"text": F.col("text")})
-    parsed = computed_once(kept, cy.parsed_fields(F.col("text")))
+    parsed = read_once(kept, "text", cy.parsed_fields)
     from_text = parsed.withColumns({f"t_{r.name}": fires(r, F.col("state")) for r in rules})
     restored = from_text.withColumns(
         {f"{c}_diff": F.coalesce(f"stored_{c}", f"{c}_diff") for c in cy.CHANNELS}

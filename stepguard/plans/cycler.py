@@ -15,11 +15,10 @@ from stepguard.functions.numbers import group_key, state_code, typed_channels
 from stepguard.functions.text import (
     SIGNED_INTEGER,
     chat_messages,
-    first_match,
+    first_labelled,
     fixed,
     identity_key,
     labelled_number,
-    labelled_patterns,
     masked,
     render,
 )
@@ -27,7 +26,7 @@ from stepguard.operators.adjacent import add_differences, add_steps
 from stepguard.operators.boundary import CaseFamily, case_grid
 from stepguard.operators.rules import Rule, add_labels, reason_text, reasons
 from stepguard.operators.sampling import replicated
-from stepguard.operators.stage import computed_once
+from stepguard.operators.stage import computed_once, read_once
 
 # ---- fixed values ----------------------------------------------------------
 
@@ -416,22 +415,18 @@ def parsed_fields(text: Column, strict_labels: bool = False) -> dict[str, Column
     written, without recomputing them from the values.
     """
     wanted = 1 if strict_labels else None
-    fields = {
-        "state": first_match(text, labelled_patterns(STATE_LABELS[:wanted], SIGNED_INTEGER), "int")
-    }
+    fields = {"state": first_labelled(text, STATE_LABELS[:wanted], SIGNED_INTEGER, "int")}
     for name in CHANNELS:
         labels = TEXT_LABELS[name]
         if strict_labels:
             standard = SHORT_NAMES[name]
-            fields[name] = first_match(text, labelled_patterns([f"当前{standard}"]))
-            jump = first_match(text, labelled_patterns([f"{standard}相邻跳变"]))
+            fields[name] = first_labelled(text, [f"当前{standard}"])
+            jump = first_labelled(text, [f"{standard}相邻跳变"])
         else:
-            now = first_match(text, labelled_patterns(labels["current"]))
-            before = first_match(text, labelled_patterns(labels["previous"]))
+            now = first_labelled(text, labels["current"])
+            before = first_labelled(text, labels["previous"])
             fields[name] = now
-            jump = F.coalesce(
-                first_match(text, labelled_patterns(labels["jump"])), F.abs(now - before)
-            )
+            jump = F.coalesce(first_labelled(text, labels["jump"]), F.abs(now - before))
         fields[f"{name}_diff"] = jump
     return fields
 
@@ -442,7 +437,7 @@ def verified(df: DataFrame, text: str, digits: int = 6, strict_labels: bool = Fa
     Adds the parsed fields, the rule flags, ``rule_pred`` and ``rule_reason``.
     """
     once = computed_once(df, {text: F.col(text)})
-    parsed = computed_once(once, parsed_fields(F.col(text), strict_labels))
+    parsed = read_once(once, text, lambda value: parsed_fields(value, strict_labels))
     flagged = add_labels(parsed, RULES)
     found = reasons(RULES, VERIFIER_REASONS, digits)
     return flagged.withColumnsRenamed({"is_anomaly": "rule_pred"}).withColumn(

@@ -47,9 +47,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataF
     A larger table is returned unhinted, so Spark joins it by a shuffle.
     """
     stored = checkpointed(df)
-    if stored.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(stored)
-    return stored
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
 def literal_rows(names: list[str], rows: list[tuple]) -> Column:

@@ -80,7 +80,7 @@ def test_cut_keys_select_the_exact_count(spark):
         "id", (F.col("id") % 3).alias("s"), seeded_key(1, F.col("id")).alias("key")
     )
     wanted = spark.createDataFrame([(0, 0), (1, 17), (2, 10**6)], "s bigint, wanted bigint")
-    cuts = {r["s"]: r["cut_key"] for r in cut_keys(df, ["s"], "key", wanted).collect()}
+    cuts = {r["s"]: r["wanted"] for r in cut_keys(df, ["s"], "key", wanted).collect()}
     rows = df.collect()
     chosen = [sum(r["s"] == s and r["key"] <= cuts[s] for r in rows) for s in range(3)]
     assert chosen == [0, 17, sum(r["s"] == 2 for r in rows)]

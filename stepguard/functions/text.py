@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SIGNED_DECIMAL = r"([-+]?\d+(?:\.\d+)?)"
 SIGNED_INTEGER = r"(-?\d+)"
+BLANKS = " \t\r\x0b\x0c\u3000"
 
 
 def fixed(number: Column, digits: int = 4, missing: str | None = None) -> Column:
@@ -78,7 +79,8 @@ def keep_lines(text: Column, prefixes: list[str]) -> Column:
             hit = hit | line.startswith(F.lit(prefix))
         return hit
 
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), known)
+    stripped = F.transform(F.split(text, "\n"), lambda line: F.trim(line, F.lit(BLANKS)))
+    lines = F.filter(stripped, known)
     return F.when(F.size(lines) == len(prefixes), F.array_join(lines, "\n"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,8 @@ def fingerprints(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_F
 
     Small files are read and hashed inside the JVM. A larger file is streamed
     in blocks by one task each, since a hash cannot be split and the file must
-    not be held in memory.
+    not be held in memory. A scan leaves out empty files, so these are added
+    from the listing that Spark keeps for the scan.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("name")
@@ -31,7 +34,13 @@ def fingerprints(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_F
         .mapInPandas(_stream_hashes, "path string, length bigint, sha256 string")
         .select(name, F.col("length").alias("bytes"), "sha256")
     )
-    return small.unionByName(large)
+    names = [(unquote(uri).rsplit("/", 1)[-1],) for uri in files.inputFiles()]
+    listed = spark.createDataFrame(names, "name string")
+    return listed.join(small.unionByName(large), "name", "left").select(
+        "name",
+        F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"),
+    )
 
 
 def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +49,8 @@ def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         hashes = []
         for uri in batch["path"]:
-            system, place = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+            # Spark writes local paths with one slash.
+            system, place = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", uri))
             digest = hashlib.sha256()
             with system.open_input_stream(place) as stream:
                 while block := stream.read(BLOCK):

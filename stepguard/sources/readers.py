@@ -42,9 +42,9 @@ def read_split_design(spark: SparkSession, path: str) -> DataFrame:
         .json(path)
     )
     listed = design.select(F.explode("split_cycles").alias("split", "groups")).select(
-        "split", group_key(F.explode("groups")).alias("group")
+        "split", F.explode("groups").alias("group")
     )
-    per_group = listed.groupBy("group").agg(
+    per_group = listed.groupBy(group_key(F.col("group")).alias("group")).agg(
         F.count(F.lit(1)).alias("n"), F.min("split").alias("split")
     )
     twice = F.raise_error(

@@ -96,18 +96,17 @@ def first_labelled(
 ) -> Column:
     """The number behind the first label, in list order, that has one.
 
-    The colon may be ASCII or full-width. A pattern for a fallback label is only
-    run when that label occurs at all, which a byte search tells faster.
+    The colon may be ASCII or full-width. A pattern only runs when its label
+    occurs at all, which a byte search tells faster; a miss would also cost an
+    exception inside the cast of the empty result.
     """
 
     def behind(label: str) -> Column:
         pattern = rf"{re.escape(label)}[:：]\s*{number}"
-        return F.regexp_extract(text, pattern, 1).try_cast(kind)
+        found = F.regexp_extract(text, pattern, 1).try_cast(kind)
+        return F.when(F.contains(text, F.lit(label)), found)
 
-    first, *others = labels
-    return F.coalesce(
-        behind(first), *[F.when(F.contains(text, F.lit(o)), behind(o)) for o in others]
-    )
+    return F.coalesce(*[behind(label) for label in labels])
 
 
 def labelled_number(text: Column, label: str, unit: str, missing: str | None = None) -> Column:

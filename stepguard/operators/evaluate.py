@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stepguard.functions.numbers import rate
 from stepguard.functions.stats import exact_interval, mcnemar_p
 from stepguard.operators.ordered import SEGMENT_ROWS, running_totals
+from stepguard.session import checkpointed
 
 COUNTS = ["samples", "tp", "fp", "tn", "fn"]
 
@@ -71,9 +72,10 @@ def score_curve(
 ) -> DataFrame:
     """Cumulative hits from the highest score down, one row per distinct score.
 
-    Equal scores are merged before anything is ordered.
+    Equal scores are merged before anything is ordered. The merged points are
+    stored, since the size check and the ordered pass both read them.
     """
-    points = (
+    points = checkpointed(
         df.groupBy(*by, F.col(score).alias("threshold"))
         .agg(
             F.count_if(F.col(gold)).alias("pos"),

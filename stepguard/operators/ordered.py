@@ -24,6 +24,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from stepguard.session import checkpointed
+
 SEGMENT_ROWS = 5_000_000
 MAX_SEGMENTS = 20_000
 SAMPLES_PER_SEGMENT = 32
@@ -232,9 +234,10 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, one row per group.
 
     Equal values are counted first, so the ordered pass sees each distinct
-    value once, and no group is gathered in one task.
+    value once, and no group is gathered in one task. The counts are stored,
+    since the size check and the ordered pass both read them.
     """
-    counted = (
+    counted = checkpointed(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -1,6 +1,8 @@
 """Column functions against plain Python on hand-made edge values."""
 
 import math
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -118,6 +120,20 @@ def test_text_parsing(spark):
     assert tuple(row) == (None, 3.5, 1.25, -7, 12.0, 12.0)
 
 
+def test_labelled_numbers_match_a_whole_text_search(spark):
+    pieces = ["总电压：", "总电压:", "单体", " ", "\n", "-3.5", "7", "x", "：", " V"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(800)]
+    wanted = []
+    for text in texts:
+        hits = [re.search(rf"{label}[:：]\s*([-+]?\d+(?:\.\d+)?)", text) for label in ("单体总电压", "总电压")]
+        wanted.append(next((float(h.group(1)) for h in hits if h), None))
+    df = one_column(spark, texts)
+    got = df.select(first_labelled(F.col("c"), ["单体总电压", "总电压"]))
+    assert [r[0] for r in got.collect()] == wanted
+    assert sum(w is not None for w in wanted) > 100
+
+
 def test_lines_and_turns(spark):
     df = one_column(spark, [" a:1 \nx\nb:2", "a:1"])
     assert [r[0] for r in df.select(keep_lines(F.col("c"), ["a:", "b:"])).collect()] == ["a:1\nb:2", None]

@@ -6,6 +6,7 @@ are fixed values: results only agree with published ones when they are the same.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from stepguard.functions.text import (
     first_labelled,
     fixed,
     identity_key,
+    insert_turns,
+    keep_lines,
     labelled_number,
     masked,
     render,
@@ -25,7 +28,7 @@ from stepguard.functions.text import (
 from stepguard.operators.adjacent import add_differences, add_steps
 from stepguard.operators.boundary import CaseFamily, case_grid
 from stepguard.operators.rules import Rule, add_labels, reason_text, reasons
-from stepguard.operators.sampling import replicated
+from stepguard.operators.sampling import lowest_per_label, replicated
 from stepguard.operators.stage import computed_once, read_once
 
 # ---- fixed values ----------------------------------------------------------
@@ -453,3 +456,54 @@ def prompt_values(text: Column, before: str = BOUNDARY_BEFORE) -> dict[str, Colu
         fields[name] = labelled_number(text, f"当前{label}", unit, MISSING)
         fields[f"previous_{name}"] = labelled_number(text, f"{before}{label}", unit, MISSING)
     return fields
+
+
+def answer_label(messages: Column) -> Column:
+    """Label of a sample, read from the start of its answer."""
+    return F.element_at(messages, -1)["content"].startswith(POSITIVE)
+
+
+def demonstrations(samples: DataFrame, per_label: int = 2, seed: int = 42) -> DataFrame:
+    """Training samples used as worked examples: the lowest seeded keys of each label."""
+    chosen = lowest_per_label(
+        samples.select("record_id", "cycle_no", "is_anomaly", "messages"),
+        "is_anomaly",
+        "record_id",
+        per_label,
+        seed,
+    )
+    question = F.element_at("messages", 2)["content"]
+    return chosen.select(
+        "record_id",
+        "cycle_no",
+        "is_anomaly",
+        "selection_key",
+        F.concat(F.lit(DEMO_HEAD), keep_lines(question, DEMO_PREFIXES)).alias("user"),
+        F.when(F.col("is_anomaly"), F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)).alias("assistant"),
+    )
+
+
+def few_shot_messages(
+    samples: DataFrame, examples: DataFrame, per_label: int = 2, seed: int = 42
+) -> DataFrame:
+    """Messages without their answer, with the examples put before the question.
+
+    The examples are ``2 * per_label`` rows and are read as one scalar. Their
+    order is a seeded shuffle of (label, key) order.
+    """
+    places = list(range(2 * per_label))
+    random.Random(seed).shuffle(places)
+    ordered = F.sort_array(
+        F.collect_list(F.struct("is_anomaly", "selection_key", "user", "assistant"))
+    )
+    turns = F.flatten(
+        F.transform(
+            F.array(*[F.element_at("all", place + 1) for place in places]),
+            lambda e: F.array(
+                F.struct(F.lit("user").alias("role"), e["user"].alias("content")),
+                F.struct(F.lit("assistant").alias("role"), e["assistant"].alias("content")),
+            ),
+        )
+    )
+    scalar = examples.agg(ordered.alias("all")).select(turns).scalar()
+    return samples.withColumn("messages", insert_turns(F.col("messages"), scalar))

@@ -8,8 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepguard.operators import profile as pf
-from stepguard.operators.sampling import balanced_sample, seeded_order
-from stepguard.operators.splits import SPLITS, split_ranges, stratified_group_split, with_split
+from stepguard.operators.sampling import (
+    balanced_sample,
+    keep_one,
+    key_multiplicity,
+    seeded_order,
+    weighted_union,
+)
+from stepguard.operators.splits import (
+    SPLITS,
+    set_overlap,
+    split_ranges,
+    stratified_group_split,
+    with_split,
+)
 from stepguard.plans import cycler as cy
 from stepguard.sources.manifest import fingerprints
 from stepguard.sources.writers import land, write_jsonl
@@ -77,3 +89,37 @@ def _check_counts(placed: DataFrame) -> None:
     )
     if short:
         raise ValueError(f"too few normal rows to balance: {[r['split'] for r in short]}")
+
+
+def boundary_mixes(
+    natural: DataFrame, boundary: DataFrame, tests: DataFrame, weight: float = 3.0, copies: int = 3
+) -> dict[str, DataFrame]:
+    """Two training sets that give boundary cases the same total weight.
+
+    ``pure_augmentation`` holds every copy of a scenario with weight one,
+    ``boundary_weighted`` one copy with ``weight``. Every scenario must occur
+    ``copies`` times, and no question may also be a test question.
+    """
+    keyed = boundary.withColumn("key", cy.scenario_key(F.col("messages"), F.col("case_type")))
+    check = key_multiplicity(keyed, "key", copies).first()
+    if check["unexpected_keys"]:
+        raise ValueError(f"{check['unexpected_keys']} scenarios do not occur {copies} times")
+    signature = cy.question_signature(F.col("messages")).alias("signature")
+    shared = set_overlap(boundary.select(signature), tests.select(signature)).first()["shared"]
+    if shared:
+        raise ValueError(f"{shared} training questions are test questions")
+
+    def as_training(cases: DataFrame) -> DataFrame:
+        return cases.withColumns(
+            {
+                "is_anomaly": F.col("gold"),
+                "cycle_no": F.lit(None).cast("string"),
+                "split": F.lit("train"),
+            }
+        ).drop("gold", "key")
+
+    single = keep_one(keyed, ["key"], "record_id")
+    return {
+        "pure_augmentation": weighted_union(natural, as_training(boundary), 1.0),
+        "boundary_weighted": weighted_union(natural, as_training(single), weight),
+    }

@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stepguard.operators import sampling as sa
 from stepguard.operators import splits as sp
 from stepguard.operators.forests import fit_isolation_forest, score_isolation_forest, tree_samples
 from stepguard.plans import cycler as cy
-from stepguard.plans.dataset import build_dataset
+from stepguard.plans.dataset import boundary_mixes, build_dataset
 from stepguard.plans.legacy import instruction_samples, labelled_table
 from stepguard.sources.readers import read_jsonl
 
@@ -184,3 +185,36 @@ def test_large_tables_are_thinned_before_the_shuffle(spark):
     samples = tree_samples(df, "id", "x", 10, 64, 3)
     sizes = [r["count"] for r in samples.groupBy("tree").count().collect()]
     assert len(sizes) == 10 and min(sizes) > 32
+
+
+def test_boundary_mixes(spark, raw):
+    natural = cy.natural_samples(cy.labelled(cy.records(raw))).select(
+        "messages", "is_anomaly", "record_id", "cycle_no", "rule_triggers"
+    ).withColumn("split", F.lit("train"))
+    boundary, tests = cy.boundary_training(spark), cy.boundary_tests(spark)
+    mixes = boundary_mixes(natural, boundary, tests)
+    label = cy.answer_label(F.col("messages"))
+    got = {n: sa.training_summary(m, label).first() for n, m in mixes.items()}
+    assert got["pure_augmentation"]["synthetic_boundary"] == 1017
+    assert got["boundary_weighted"]["synthetic_boundary"] == 339
+    assert got["pure_augmentation"]["weight_sum"] == got["boundary_weighted"]["weight_sum"] == 5017
+    for mix in mixes.values():
+        assert mix.filter(label != F.col("is_anomaly")).count() == 0
+    with pytest.raises(ValueError, match="do not occur 3 times"):
+        boundary_mixes(natural, boundary.filter("record_id <> 910000"), tests)
+    with pytest.raises(ValueError, match="are test questions"):
+        again = tests.select("record_id", "case_type", "gold", "messages")
+        boundary_mixes(natural, again, tests, copies=1)
+
+
+def test_few_shot_messages(spark, raw):
+    samples = cy.natural_samples(cy.labelled(cy.records(raw)))
+    examples = cy.demonstrations(samples)
+    rows = examples.collect()
+    assert sorted(r["is_anomaly"] for r in rows) == [False, False, True, True]
+    assert all(len(r["user"].split("\n")) == 14 for r in rows)
+    out = cy.few_shot_messages(samples, examples).select("messages").first()["messages"]
+    assert [m["role"] for m in out] == ["system", *["user", "assistant"] * 4, "user"]
+    ordered = sorted(rows, key=lambda r: (r["is_anomaly"], r["selection_key"]))
+    random.Random(42).shuffle(ordered)
+    assert [m["content"] for m in out[2:9:2]] == [r["assistant"] for r in ordered]

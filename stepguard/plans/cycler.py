@@ -412,24 +412,26 @@ def question_signature(messages: Column) -> Column:
 
 
 def parsed_fields(text: Column, strict_labels: bool = False) -> dict[str, Column]:
-    """State and channel values read from a question text.
+    """What the rules need from a question text: state, jumps, and values of level rules.
 
+    A jump that is not written down is recomputed from the two values.
     ``strict_labels`` reads only the standard labels and takes the jumps as
-    written, without recomputing them from the values.
+    written.
     """
     wanted = 1 if strict_labels else None
+    levels = {rule.channel for rule in RULES if rule.kind == "level"}
     fields = {"state": first_labelled(text, STATE_LABELS[:wanted], SIGNED_INTEGER, "int")}
     for name in CHANNELS:
         labels = TEXT_LABELS[name]
         if strict_labels:
-            standard = SHORT_NAMES[name]
-            fields[name] = first_labelled(text, [f"当前{standard}"])
-            jump = first_labelled(text, [f"{standard}相邻跳变"])
+            now = first_labelled(text, [f"当前{SHORT_NAMES[name]}"])
+            jump = first_labelled(text, [f"{SHORT_NAMES[name]}相邻跳变"])
         else:
             now = first_labelled(text, labels["current"])
             before = first_labelled(text, labels["previous"])
-            fields[name] = now
             jump = F.coalesce(first_labelled(text, labels["jump"]), F.abs(now - before))
+        if name in levels:
+            fields[name] = now
         fields[f"{name}_diff"] = jump
     return fields
 

@@ -43,13 +43,19 @@ def passes(score: Column, threshold: float | Column) -> Column:
     return score >= threshold
 
 
+# Names of the ways in which a final verdict comes about.
+UNPARSED = "llm_unparsed_use_rule"
+CONSISTENT = "consistent"
+CORRECTED = "corrected_by_rule"
+
+
 def reconcile(model: Column, rule: Column) -> tuple[Column, Column]:
     """Final verdict and how it came about; the rule wins wherever they differ."""
     final = F.when(model.isNull(), rule).when(model == rule, model).otherwise(rule)
     kind = (
-        F.when(model.isNull(), F.lit("llm_unparsed_use_rule"))
-        .when(model == rule, F.lit("consistent"))
-        .otherwise(F.lit("corrected_by_rule"))
+        F.when(model.isNull(), F.lit(UNPARSED))
+        .when(model == rule, F.lit(CONSISTENT))
+        .otherwise(F.lit(CORRECTED))
     )
     return final, kind
 

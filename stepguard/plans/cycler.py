@@ -27,6 +27,7 @@ from stepguard.functions.text import (
 )
 from stepguard.operators.adjacent import add_differences, add_steps
 from stepguard.operators.boundary import CaseFamily, case_grid
+from stepguard.operators.features import assemble, feature_columns
 from stepguard.operators.rules import Rule, add_labels, reason_text, reasons
 from stepguard.operators.sampling import lowest_per_label, replicated
 from stepguard.operators.stage import computed_once, read_once
@@ -509,3 +510,27 @@ def few_shot_messages(
     )
     scalar = examples.agg(ordered.alias("all")).select(turns).scalar()
     return samples.withColumn("messages", insert_turns(F.col("messages"), scalar))
+
+
+def boundary_features(cases: DataFrame) -> DataFrame:
+    """Feature vectors of suite cases, from their question texts.
+
+    The texts show four decimals, so the stored differences replace the ones
+    that could be computed from them: rounding may flip a strict comparison.
+    """
+    stored = {f"stored_{c}": F.col(f"{c}_diff") for c in CHANNELS}
+    texts = cases.select(
+        "record_id",
+        "case_type",
+        "gold",
+        "state",
+        *[column.alias(name) for name, column in stored.items()],
+        F.element_at("messages", 2)["content"].alias("text"),
+    )
+    parsed = read_once(computed_once(texts, {"text": F.col("text")}), "text", prompt_values)
+    differences = {
+        f"{c}_diff": F.coalesce(F.col(f"stored_{c}"), F.abs(F.col(c) - F.col(f"previous_{c}")))
+        for c in CHANNELS
+    }
+    rows = parsed.withColumns(differences).drop("text", *stored)
+    return assemble(rows, feature_columns(CHANNELS, [CHARGE, DISCHARGE]))

@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 from stepguard.functions.text import fixed
 from stepguard.operators import evaluate as ea
 from stepguard.operators import profile as pf
-from stepguard.operators.rules import label_variants, state_bucket, variants_long
+from stepguard.operators.rules import (
+    label_variants,
+    leave_one_out,
+    state_bucket,
+    variants_long,
+)
 from stepguard.operators.sampling import key_multiplicity, keep_one
 from stepguard.operators.splits import set_overlap
 from stepguard.plans import cycler as cy
@@ -57,6 +62,26 @@ def test_rule_removal(suite):
     assert list(got[name] for name in cy.REMOVALS) == [21, 19, 12, 19, 17]
 
 
+def test_leave_one_out_covers_the_fixed_variants():
+    ours = leave_one_out(cy.RULES)
+    assert len(ours) == 6
+    assert all(ours[n] == r for n, r in cy.REMOVALS.items() if n in ours)
+
+
+def test_suite_features_keep_the_stored_differences(suite):
+    rows = {r["record_id"]: r for r in cy.boundary_features(suite).collect()}
+    cases = {r["record_id"]: r for r in suite.collect()}
+    assert len(rows) == 71
+    for record_id, case in cases.items():
+        vector = rows[record_id]["features"]
+        assert len(vector) == 16 and vector[15] == 1.0
+        assert vector[:3] == [float(case["state"] == s) for s in (110, 30, 0)]
+        assert [vector[i] for i in (5, 8, 11, 14)] == [case[f"{c}_diff"] for c in cy.CHANNELS]
+        assert vector[3] == pytest.approx(case["total_voltage"], abs=5e-5)
+    just_below = 3.8 + 0.05 - 3.8
+    assert just_below < 0.05 and any(r["features"][8] == just_below for r in rows.values())
+
+
 def test_distribution_of_the_suite(suite):
     out = pf.distribution(suite, ["total_voltage", "cell_voltage_diff", "temperature_diff"])
     got = {r["feature"]: r for r in out.collect()}

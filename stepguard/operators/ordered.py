@@ -29,7 +29,6 @@ from stepguard.session import checkpointed
 SEGMENT_ROWS = 5_000_000
 MAX_SEGMENTS = 20_000
 SAMPLES_PER_SEGMENT = 32
-CUT_BLOCK = 128
 
 _ALL = "__all_rows"
 _SEGMENT = "__segment"
@@ -55,7 +54,7 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _cut_points(
     df: DataFrame, group: list[str], order: list[str], segment_rows: int
 ) -> DataFrame | None:
-    """Blocks of cut keys per hot group, or None when no group is hot."""
+    """Sorted cut keys per hot group, or None when no group is hot."""
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
     total, largest = sizes.agg(F.sum("__rows"), F.max("__rows")).first()
     limit = max(segment_rows, ceil((total or 0) / MAX_SEGMENTS))
@@ -77,35 +76,32 @@ def _cut_points(
             lambda i: F.element_at("__keys", i),
         ),
     )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / CUT_BLOCK).cast("int")),
-        lambda b: F.slice("__cuts", b * CUT_BLOCK + 1, CUT_BLOCK),
+    # Powers of two from the largest one within the list down to one.
+    steps = F.transform(
+        F.sequence(F.floor(F.log2(F.size("__cuts"))).cast("int"), F.lit(0), F.lit(-1)),
+        lambda power: F.pow(F.lit(2), power).cast("int"),
     )
     return (
         cuts.withColumn("__cuts", picked)
         .filter("__cuts IS NOT NULL")
-        .select(*group, blocks.alias("__blocks"))
+        .select(*group, "__cuts", steps.alias("__steps"))
     )
 
 
 def _segmented(df: DataFrame, cuts: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Segment number of each row: how many cut keys are at or below its key."""
+    """Segment number of each row: how many cut keys are at or below its key.
+
+    The number is found by halving, so a row meets a handful of cut keys only.
+    """
     key = F.struct(*order)
     joined = _attach(df, cuts, group)
-    block = F.size(F.filter("__blocks", lambda b: F.element_at(b, 1) <= key))
-    inside = F.size(
-        F.filter(F.element_at("__blocks", F.col("__block")), lambda cut: cut <= key)
-    )
-    return (
-        joined.withColumn("__block", F.when(F.col("__blocks").isNotNull(), block))
-        .withColumn(
-            _SEGMENT,
-            F.when(F.col("__block").isNull(), F.lit(None).cast("int"))
-            .when(F.col("__block") == 0, F.lit(0))
-            .otherwise((F.col("__block") - 1) * CUT_BLOCK + inside),
-        )
-        .drop("__blocks", "__block")
+    place = F.aggregate(
+        "__steps",
+        F.lit(0),
+        lambda at, step: F.when(F.get("__cuts", at + step - 1) <= key, at + step).otherwise(at),
     )
+    segment = F.when(F.col("__cuts").isNotNull(), place)
+    return joined.withColumn(_SEGMENT, segment).drop("__cuts", "__steps")
 
 
 def over_history(

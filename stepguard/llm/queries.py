@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, secret_scan, simhash, winnowing
+from stepguard.llm import html_extraction, quality_rules, secret_scan, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -44,3 +44,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.group_digest(table(spark, folder, "documents"))
+
+
+@query("op8_quality_rules", quality_rules.ORACLE)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, folder, "documents"))

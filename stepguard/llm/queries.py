@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, quality_rules, secret_scan, simhash, winnowing
+from stepguard.llm import html_extraction, line_dedup, mixing, quality_rules, secret_scan, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -49,3 +49,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality_rules", quality_rules.ORACLE)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, folder, "documents"))
+
+
+@query("op3_line_dedup", line_dedup.ORACLE)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.drop_boilerplate(table(spark, folder, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture_digest(table(spark, folder, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, line_dedup, mixing, quality_rules, secret_scan, simhash, winnowing
+from stepguard.llm import html_extraction, line_dedup, mixing, quality_rules, secret_scan, sharding, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_digest(table(spark, folder, "documents"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, folder, "documents"))

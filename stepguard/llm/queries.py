@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, line_dedup, mixing, quality_rules, secret_scan, sharding, simhash, winnowing
+from stepguard.llm import html_extraction, line_dedup, mixing, pieces, quality_rules, secret_scan, sharding, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -65,3 +65,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_sharding")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(table(spark, folder, "documents"))
+
+
+@query("op9_pieces")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.with_pieces(docs).select("doc_id", "n_tokens", "token_ids", "round_trip")

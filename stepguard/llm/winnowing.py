@@ -28,7 +28,7 @@ WINDOW = 48
 BASE = np.uint64(0x100000001B3)
 NONE = np.uint64(2**64 - 1)
 #: Texts are fingerprinted together in parts of so many characters.
-PART_CHARS = 400_000
+PART_CHARS = 100_000
 
 
 @dataclass
@@ -65,19 +65,18 @@ class Fingerprints:
 def _gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     """Polynomial hash of the ``gram`` codes from each place, by doubling the span."""
     single = codes.astype(np.uint64) + np.uint64(1)
-    spans = {1: single}
-
-    def span(n: int) -> np.ndarray:
-        if n not in spans:
-            left = n // 2
-            right = n - left
-            a, b = span(left), span(right)
-            shifted = np.zeros_like(b)
-            shifted[: len(b) - left] = b[left:]
-            spans[n] = a * np.uint64(pow(int(BASE), right, 2**64)) + shifted
-        return spans[n]
-
-    return span(gram)
+    held, span = single, 1
+    for digit in bin(gram)[3:]:  # the bits of the length below the first one
+        shifted = np.zeros_like(held)
+        shifted[: len(held) - span] = held[span:]
+        held = held * np.uint64(pow(int(BASE), span, 2**64)) + shifted
+        span *= 2
+        if digit == "1":
+            shifted = np.zeros_like(held)
+            shifted[: len(held) - span] = single[span:]
+            held = held * BASE + shifted
+            span += 1
+    return held
 
 
 def _window_minima(keys: np.ndarray, window: int) -> np.ndarray:

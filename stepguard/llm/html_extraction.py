@@ -177,6 +177,9 @@ def main_text(html: Column, sigma: float = SIGMA, threshold: float = THRESHOLD)
         found = [
             page_text(page, sigma, threshold) for _, part in text_slices(pages) for page in part
         ]
-        return pd.DataFrame(found, columns=["text", "kept_lines", "lines"])
+        texts, kept, lines = zip(*found, strict=True) if found else ((), (), ())
+        return pd.DataFrame(
+            {"text": pd.Series(texts, dtype=object), "kept_lines": kept, "lines": lines}
+        )
 
     return extract(html)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, line_dedup, mixing, pieces, quality_rules, secret_scan, sharding, simhash, winnowing
+from stepguard.llm import html_extraction, line_dedup, mixing, pieces, pitman_yor, quality_rules, secret_scan, sharding, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.with_pieces(docs).select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
+@query("op6_pitman_yor")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score_digest(table(spark, folder, "documents"))

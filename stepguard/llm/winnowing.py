@@ -213,13 +213,17 @@ def _compared(ids: list, texts: list[str], following: str) -> pd.DataFrame:
     changed = fingerprints(edited)
     n = len(texts)
     here = own.rows(np.arange(n))
+    def strings(values: list[str]) -> pd.Series:
+        return pd.Series(values, dtype=object)
+
+    digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
     return pd.DataFrame(
         {
             "doc_id": pd.array(ids, dtype="Int64"),
             "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-            "fingerprint": own.strings()[:n],
-            "edited_fingerprint": changed.strings(),
+            "edited_sha256": strings(digests),
+            "fingerprint": strings(own.strings()[:n]),
+            "edited_fingerprint": strings(changed.strings()),
             "near_edited": likeness(here, changed),
             "near_next": likeness(here, own.rows(np.arange(1, n + 1))),
         }

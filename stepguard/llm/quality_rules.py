@@ -166,18 +166,21 @@ def thresholds(counts: DataFrame) -> DataFrame:
     groups = sketch.select("lang", "source").distinct()
     own = fences(sketch, ["lang", "source"])
     language = fences(sketch, ["lang"])
-    everything = fences(sketch.withColumn("all", F.lit(0)), ["all"])
-    named = [f.select(*[c for c in f.columns if c not in TOLERANCES],
-                      F.struct(*TOLERANCES).alias(name))
-             for name, f in (("own", own), ("language", language), ("everything", everything))]
+    whole = fences(sketch.withColumn("all", F.lit(0)), ["all"]).first()  # one row of a few numbers
+    everything = F.lit(None)
+    if whole is not None:
+        limits = {r: [F.lit(v).cast("long").alias(k) for k, v in whole[r].asDict().items()] for r in TOLERANCES}
+        everything = F.struct(*[F.struct(*pair).alias(rule) for rule, pair in limits.items()])
+    named = [
+        f.select(*keys, F.struct(*TOLERANCES).alias(name))
+        for name, f, keys in (("own", own, ["lang", "source"]), ("language", language, ["lang"]))
+    ]
     joined = (
         groups.alias("g")
         .join(named[0].alias("o"), F.expr("g.lang <=> o.lang AND g.source <=> o.source"), "left")
         .join(named[1].alias("l"), F.expr("g.lang <=> l.lang"), "left")
-        .join(named[2].alias("e"), F.expr("e.all = 0"), "left")
     )
-    best = F.coalesce("o.own", "l.language", "e.everything")
-    return joined.select("g.lang", "g.source", best.alias("fence"))
+    return joined.select("g.lang", "g.source", F.coalesce("o.own", "l.language", everything).alias("fence"))
 
 
 def judged(counts: DataFrame, table: DataFrame) -> DataFrame:

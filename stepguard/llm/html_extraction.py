@@ -4,8 +4,8 @@ The standard library's parser streams events. Each event that ends a block ends
 *line*, which carries its text, the number of tags met in it, and the nearest
 sectioning element around it. The text-to-tag ratios of the lines are smoothed
 with a Gaussian kernel, and a threshold at a part of their standard deviation
-splits them in two clusters. Sections that hold a line of the upper cluster are
-the content regions, and every line of a region belongs to the text, so short
+splits them in two clusters. Sections that hold a line of the upper cluster (whose
+own ratio is above the threshold, too) are the content regions, and every line of a region belongs to the text, so short
 paragraphs between long ones stay. Elements that are never the main text (menus,
 forms, scripts and so on, by element, role or class words) give no lines.
 
@@ -160,7 +160,9 @@ def page_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
         return "", 0, 0
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], dtype=float)
     smooth = smoothed(ratios, sigma)
-    content = smooth >= threshold * smooth.std()
+    cut = threshold * smooth.std()
+    # smoothing lifts a menu beside a long paragraph, too; its own ratio stays low
+    content = (smooth >= cut) & (ratios >= cut)
     regions = {section for (_, _, section), upper in zip(lines, content, strict=True) if upper}
     if any(parser.inside_article[s] for s in regions):
         # sections inside one article are one region

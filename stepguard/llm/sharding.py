@@ -13,7 +13,7 @@ themselves in the same way, ``FAN`` at a time, level by level, until one is left
 Only tables with one row per bucket and shard lie between the levels.
 
 A group larger than a shard's even part fills its shard alone; the rest is balanced
-among the others as far as possible. Null text is a group like others, of no bytes.
+among the others as far as possible. Null text is empty text.
 The law is ``bytes``: a document's shard depends on all documents.
 """
 
@@ -168,13 +168,13 @@ def shard_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS
 ) -> DataFrame:
     """``id``, ``size``, ``crc``, ``shard`` and ``slot`` for every document."""
-    text = F.col(f"`{text_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     sized = checkpointed(
         docs.select(
             F.col(f"`{id_col}`").alias("id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit(""))).alias("crc"),
-            F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"),
+            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+            F.crc32(text).alias("crc"),
+            F.unhex(F.md5(text)).alias("key"),
         )
     )
     groups = checkpointed(sized.groupBy("key").agg(F.sum("size").alias("bytes")))

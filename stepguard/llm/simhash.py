@@ -198,10 +198,11 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``print``, ``component`` for every row.
+    """``id``, ``print``, ``component`` and ``root`` for every row.
 
-    The component is the smallest id of the group. Copies meet in one fingerprint
-    and are linked by it; rows with equal ids are rows like others.
+    The component is the smallest id of the group, the root one of its fingerprints.
+    Copies meet in one fingerprint and are linked by it. Rows with equal ids are rows
+    like others, so two groups can have one smallest id, but never one root.
     """
     hashed = checkpointed(
         docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("print"))
@@ -212,8 +213,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "print", "first", F.coalesce("component", "print").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(smallest, "root").select("print", "component")
-    return hashed.join(named, "print").select("id", "print", "component")
+    named = rooted.join(smallest, "root").select("print", "component", "root")
+    return hashed.join(named, "print").select("id", "print", "component", "root")
 
 
 def group_digest(docs: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     stays = (
         groups(docs, id_col, text_col)
-        .groupBy(F.col("component").alias("group"))
+        .groupBy("root")
         .agg(F.min(F.struct("id", "print")).alias("first"))
         .select(F.col("first.id").alias("stay_id"), F.col("first.print").alias("stay_print"))
     )

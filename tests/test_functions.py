@@ -192,3 +192,47 @@ def test_incomplete_beta_symmetry():
 def test_large_counts_stay_exact():
     low, high = stats.interval_bounds([999_000_000_000], [10**12], 0.05)
     assert low[0] < 0.999 < high[0] and high[0] - low[0] < 1e-6
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9, 10**11, 10**13])
+@pytest.mark.parametrize("z", [0.01, 0.1, 1.0, 3.0, 6.0])
+def test_p_values_of_large_counts_are_normal(n, z):
+    from math import erfc, sqrt
+
+    smaller = int((n - z * sqrt(n)) / 2)
+    p = stats.two_sided_p([smaller], [n - smaller])[0]
+    # the sum ends half a step beyond the count
+    near = erfc((n - 2 * smaller - 1) / sqrt(2 * n))
+    assert p == pytest.approx(near, abs=1e-6 if n >= 10**6 else 1e-4)
+
+
+def test_fraction_and_quadrature_meet():
+    import numpy as np
+
+    a = np.array([2999.0, 2990.0, 2950.0, 2000.0])
+    b = np.array([4000.0, 90_000.0, 3_000_000.0, 5000.0])
+    for shift in (-3.0, -0.5, 0.0, 1.0, 4.0):
+        mean = a / (a + b)
+        x = mean + shift * np.sqrt(mean * (1 - mean) / (a + b))
+        assert stats._quadrature(a, b, x) == pytest.approx(stats.incomplete_beta(a, b, x), abs=1e-10)
+
+
+def test_few_successes_among_very_many():
+    from math import exp
+
+    n = 10**12
+    low, high = stats.interval_bounds([0, 5], [n, n], 0.05)
+    # the counts are Poisson here
+    assert high[0] * n == pytest.approx(3.688879, rel=1e-5)
+    assert low[1] * n == pytest.approx(1.623486, rel=1e-5) and high[1] * n == pytest.approx(11.668332, rel=1e-5)
+    assert stats.incomplete_beta([1.0], [float(n)], [2.0 / n])[0] == pytest.approx(1 - exp(-2), rel=1e-9)
+
+
+def test_interval_of_large_counts_is_normal():
+    from math import sqrt
+
+    n, k = 10**13, 2 * 10**12
+    low, high = stats.interval_bounds([k], [n], 0.05)
+    half = 1.959963985 * sqrt(0.2 * 0.8 / n)
+    assert low[0] == pytest.approx(0.2 - half, abs=half * 1e-5)
+    assert high[0] == pytest.approx(0.2 + half, abs=half * 1e-5)

@@ -14,13 +14,12 @@ from stepguard.streaming.labels import (
     run_to_table,
     running_counts,
     sequence_stream,
+    table_stream,
 )
 
 
 def event_stream(spark, folder):
-    schema = ev.table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return ev.from_raw(source.parquet(folder))
+    return ev.from_raw(table_stream(spark, folder, "events"))
 
 
 def drained(stream, name):

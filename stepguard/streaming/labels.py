@@ -5,9 +5,10 @@ inside a micro-batch. A row that is not newer than the stored key is passed on
 with ``late`` set, without a previous value, and leaves the state alone; this
 is a choice made here, since a batch table has no late rows.
 
-A micro-batch is as large as the source allows (``maxFilesPerTrigger``,
-``maxOffsetsPerTrigger`` and the like), so set that limit to bound what one
-group can bring into a task.
+The rows of a group in a micro-batch are put in order in one task, so what a group
+can bring into a task is bounded by the micro-batch: :func:`table_stream` takes a
+limit of files or bytes per trigger for tables whose files follow the order key.
+Without a limit a table is one micro-batch, whatever the order of its files.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (
@@ -32,6 +34,29 @@ from stepguard.operators.adjacent import add_differences
 from stepguard.operators.rules import Rule, add_labels
 
 
+def table_stream(
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
+) -> DataFrame:
+    """A stream over one table of a folder: a single Parquet file or a folder of part files.
+
+    With a limit the files are read in the order in which they were written, a few
+    per micro-batch. A missing or empty table is an error.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema  # fails where nothing can be read
+    source = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger is not None:
+        source = source.option("maxBytesPerTrigger", bytes_per_trigger)
+    # a pattern that matches this name only finds a file as well as a folder
+    return source.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def _in_order(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     rows = pd.concat(list(batches), ignore_index=True)
     return rows.sort_values(list(order), kind="stable", ignore_index=True)
@@ -143,21 +168,22 @@ def sequence_stream(
         rows = _in_order(batches, order)
         known = tuple(state.get) if state.exists else None
         late = _late(rows, order, known[:width] if known else None)
-        steps = [list(s) for s in known[width]] if known else []
-        sequences: list = []
-        values = rows[list(features)].astype("float64").to_numpy().tolist()
-        for is_late, value in zip(late, values):
-            if is_late:
-                sequences.append(None)
-                continue
-            steps = (steps + [value])[-length:]
-            sequences.append([steps[0]] * (length - len(steps)) + steps)
-        rows["sequence"] = sequences
-        rows["late"] = late
         fresh = rows[~late]
+        rows["sequence"] = None
+        rows["late"] = late
         if len(fresh):
+            values = fresh[list(features)].astype("float64").to_numpy()
+            before = np.array([list(s) for s in known[width]]) if known else values[:0]
+            history = np.concatenate([before.reshape(-1, len(features)), values])
+            # the first step stands for those before it
+            padded = np.concatenate([np.repeat(history[:1], length - 1, axis=0), history])
+            windows = np.lib.stride_tricks.sliding_window_view(padded, length, axis=0)[len(before) :]
+            rows["sequence"] = pd.Series(
+                windows.transpose(0, 2, 1).tolist(), index=fresh.index, dtype=object
+            ).reindex(rows.index)
+            rows.loc[late, "sequence"] = None
             last = fresh.iloc[-1]
-            state.update(tuple(int(last[o]) for o in order) + (steps,))
+            state.update(tuple(int(last[o]) for o in order) + (history[-length:].tolist(),))
         yield rows[[f.name for f in out.fields]]
 
     return stream.groupBy(group).applyInPandasWithState(

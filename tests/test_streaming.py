@@ -4,7 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepguard.plans import events as ev
-from stepguard.streaming.labels import label_stream, run_to_table, running_counts, sequence_stream
+from stepguard.streaming.labels import (
+    label_stream,
+    run_to_table,
+    running_counts,
+    sequence_stream,
+    table_stream,
+)
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +120,45 @@ def test_running_counters(spark, folder, pieces, tmp_path):
     )
     assert len(seen) == 4
     assert seen[-1] == {r["state"]: (r["n"], r["b"]) for r in rows.collect()}
+
+
+def test_folder_and_file_tables_stream_alike(spark, folder, tmp_path):
+    raw = spark.read.parquet(f"{folder}/events.parquet")
+    raw.repartition(7).write.parquet(f"{tmp_path}/parts/events.parquet")
+    for n, place in enumerate((folder, f"{tmp_path}/parts")):
+        stream = ev.from_raw(table_stream(spark, place, "events"))
+        labels = label_stream(stream, ev.GROUP, ev.ORDER, ev.CHANNELS, ev.RULES)
+        got = run_to_table(labels, f"{tmp_path}/out{n}", f"{tmp_path}/state{n}")
+        wanted = ev.labelled(ev.events(spark, folder))
+        columns = ["event_id", "previous_value", *ev.RULE_NAMES]
+        assert got.count() == raw.count() and got.filter("late").count() == 0
+        assert got.select(columns).exceptAll(wanted.select(columns)).count() == 0
+
+
+def test_missing_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        table_stream(spark, str(tmp_path), "events")
+
+
+def test_hot_group_over_several_triggers(spark, tmp_path):
+    """One group holds nearly all rows, which arrive in five files, two per trigger."""
+    import time
+
+    from stepguard.operators.adjacent import rolling_sequence
+
+    rows = [("hot" if i % 10 else "cold", i, float(i * 7 % 31)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g string, t bigint, v double")
+    path = f"{tmp_path}/events.parquet"
+    for part in range(5):
+        frame.filter((F.col("t") >= part * 100) & (F.col("t") < part * 100 + 100)).coalesce(1).write.mode(
+            "append"
+        ).parquet(path)
+        time.sleep(1.1)
+    stream = table_stream(spark, str(tmp_path), "events", files_per_trigger=2)
+    out = sequence_stream(stream.withColumn("w", F.col("v") + 1), "g", ["t"], ["v", "w"], 4)
+    got = run_to_table(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    wanted = rolling_sequence(
+        frame.withColumn("w", F.col("v") + 1), ["g"], ["t"], F.array("v", "w"), 4
+    ).select("g", "t", "sequence")
+    assert got.count() == 500 and got.filter("late").count() == 0
+    assert got.select("g", "t", "sequence").exceptAll(wanted).count() == 0

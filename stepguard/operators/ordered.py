@@ -1,34 +1,32 @@
 """Ordered work inside groups that stays bounded when one group is huge.
 
-A plain window sends every row of a group to one task. That is the plan used
-here as long as a count shows that the largest group is small. A larger group
-is cut along its order key into segments of about ``segment_rows`` rows, and
-each segment becomes a window of its own:
+A plain window sends every row of a group to one task. That is the plan used here
+for tables of ``segment_rows`` rows at most, which any one task can order; the row
+count is read without the columns. A larger table is partitioned by ranges of
+(group, order key), which Spark samples itself, into segments of about
+``segment_rows`` rows, as many as that takes, and stored in the shared folder. Each
+piece of a group in a segment becomes a window of its own:
 
 * expressions that look back a fixed number of rows get the last rows of the
-  earlier segments added in front of each segment;
-* running sums get the sum of the earlier segments added.
+  group's earlier segments added in front of each segment;
+* running sums get the sum of the group's earlier segments added.
 
-The cut points come from a hash sample of the hot groups, so they depend on
-the rows only and are the same in every retry. Their number is limited to
-about ``2 * MAX_SEGMENTS`` whatever the size of the data, which is what makes
-the broadcast of the cut points safe.
+Only groups at the edge of a segment can need either, two per segment at most; what
+is broadcast is a row for each of these and each of their segments. The cost per row
+doesn't depend on the number of segments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stepguard.session import checkpointed
 
-SEGMENT_ROWS = 5_000_000
-MAX_SEGMENTS = 20_000
-SAMPLES_PER_SEGMENT = 32
+SEGMENT_ROWS = 2_000_000
 
 _ALL = "__all_rows"
 _SEGMENT = "__segment"
@@ -41,67 +39,33 @@ def _keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe left join with a table of bounded size, dropping its keys."""
+def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe join with a table of a row per cut or two, dropping its keys."""
     renamed = small.withColumnsRenamed({key: f"__r_{key}" for key in keys})
     same = reduce(
         lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"__r_{key}")) for key in keys]
     )
-    joined = df.join(F.broadcast(renamed), same, "left")
+    joined = df.join(F.broadcast(renamed), same, how)
     return joined.drop(*[f"__r_{key}" for key in keys])
 
 
-def _cut_points(
+def _segmented(
     df: DataFrame, group: list[str], order: list[str], segment_rows: int
-) -> DataFrame | None:
-    """Sorted cut keys per hot group, or None when no group is hot."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
-    total, largest = sizes.agg(F.sum("__rows"), F.max("__rows")).first()
-    limit = max(segment_rows, ceil((total or 0) / MAX_SEGMENTS))
-    if (largest or 0) <= limit:
-        return None
-    every = max(1, limit // SAMPLES_PER_SEGMENT)
-    step = max(1, limit // every)
-    hot = sizes.filter(F.col("__rows") > limit)
-    sample = df.select(*group, *[name for name in order if name not in group])
-    if every > 1:
-        sample = sample.filter(F.pmod(F.xxhash64(*group, *order), F.lit(every)) == 0)
-    sample = _attach(sample, hot, group).filter("__rows IS NOT NULL")
-    keys = F.sort_array(F.collect_list(F.struct(*order)))
-    cuts = sample.groupBy(*group).agg(keys.alias("__keys"))
-    picked = F.when(
-        F.size("__keys") >= step,
-        F.transform(
-            F.sequence(F.lit(step), F.size("__keys"), F.lit(step)),
-            lambda i: F.element_at("__keys", i),
-        ),
-    )
-    # Powers of two from the largest one within the list down to one.
-    steps = F.transform(
-        F.sequence(F.floor(F.log2(F.size("__cuts"))).cast("int"), F.lit(0), F.lit(-1)),
-        lambda power: F.pow(F.lit(2), power).cast("int"),
-    )
-    return (
-        cuts.withColumn("__cuts", picked)
-        .filter("__cuts IS NOT NULL")
-        .select(*group, "__cuts", steps.alias("__steps"))
-    )
-
+) -> tuple[DataFrame, DataFrame] | None:
+    """Rows with their segment, and the groups at segment edges; None for a small table.
 
-def _segmented(df: DataFrame, cuts: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Segment number of each row: how many cut keys are at or below its key.
-
-    The number is found by halving, so a row meets a handful of cut keys only.
+    The rows are stored, as the ranges that Spark draws may differ between two reads.
     """
-    key = F.struct(*order)
-    joined = _attach(df, cuts, group)
-    place = F.aggregate(
-        "__steps",
-        F.lit(0),
-        lambda at, step: F.when(F.get("__cuts", at + step - 1) <= key, at + step).otherwise(at),
-    )
-    segment = F.when(F.col("__cuts").isNotNull(), place)
-    return joined.withColumn(_SEGMENT, segment).drop("__cuts", "__steps")
+    total = df.count()
+    if total <= segment_rows:
+        return None
+    names = list(dict.fromkeys([*group, *order]))
+    ranged = df.repartitionByRange(-(-total // segment_rows), *names)
+    rows = checkpointed(ranged.withColumn(_SEGMENT, F.spark_partition_id()))
+    key = F.struct(*group)
+    edges = rows.groupBy(_SEGMENT).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    at_edges = edges.select(F.explode(F.array("first", "last")).alias("edge")).select("edge.*").distinct()
+    return rows, at_edges
 
 
 def over_history(
@@ -120,16 +84,16 @@ def over_history(
     """
     order = list(order)
     keyed, keys = _keyed(df, group)
-    cuts = _cut_points(keyed, keys, order, segment_rows)
-    if cuts is None:
+    cut = _segmented(keyed, keys, order, segment_rows)
+    if cut is None:
         columns = build(Window.partitionBy(*keys).orderBy(*order))
         return keyed.withColumns(columns).drop(_ALL)
 
-    rows = _segmented(keyed, cuts, keys, order)
+    rows, through = cut
     names = rows.columns
     latest = Window.partitionBy(*keys, _SEGMENT).orderBy(*[F.desc(name) for name in order])
     tails = (
-        rows.filter(F.col(_SEGMENT).isNotNull())
+        _attach(rows, through, keys, "inner")
         .withColumn("__from_end", F.row_number().over(latest))
         .filter(F.col("__from_end") <= depth)
     )
@@ -168,7 +132,7 @@ def running_totals(
     order = list(order)
     totals = totals or {}
     keyed, keys = _keyed(df, group)
-    cuts = _cut_points(keyed, keys, order, segment_rows)
+    cut = _segmented(keyed, keys, order, segment_rows)
 
     def running(*partition: str) -> WindowSpec:
         return (
@@ -177,17 +141,20 @@ def running_totals(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
 
-    if cuts is None:
+    if cut is None:
         columns = {name: F.sum(value).over(running(*keys)) for name, value in sums.items()}
         whole = Window.partitionBy(*keys)
         columns |= {name: F.sum(value).over(whole) for name, value in totals.items()}
         return keyed.withColumns(columns).drop(_ALL)
 
-    rows = _segmented(keyed, cuts, keys, order)
-    per_segment = rows.filter(F.col(_SEGMENT).isNotNull()).groupBy(*keys, _SEGMENT)
-    parts = per_segment.agg(
-        *[F.sum(value).alias(f"__s_{name}") for name, value in sums.items()],
-        *[F.sum(value).alias(f"__t_{name}") for name, value in totals.items()],
+    rows, through = cut
+    parts = (
+        _attach(rows, through, keys, "inner")
+        .groupBy(*keys, _SEGMENT)
+        .agg(
+            *[F.sum(value).alias(f"__s_{name}") for name, value in sums.items()],
+            *[F.sum(value).alias(f"__t_{name}") for name, value in totals.items()],
+        )
     )
     before = (
         Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
@@ -231,7 +198,7 @@ def exact_quantiles(
 
     Equal values are counted first, so the ordered pass sees each distinct
     value once, and no group is gathered in one task. The counts are stored,
-    since the size check and the ordered pass both read them.
+    since the row count and the ordered pass both read them.
     """
     counted = checkpointed(
         df.filter(F.col(value).isNotNull())

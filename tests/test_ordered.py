@@ -56,11 +56,18 @@ def test_running_totals(skewed, segment_rows, group):
 def test_segments_bound_the_hot_group(skewed, spark):
     from stepguard.operators import ordered
 
-    cuts = ordered._cut_points(skewed, ["g"], ["t", "id"], 64)
-    parts = ordered._segmented(skewed, cuts, ["g"], ["t", "id"])
-    sizes = parts.filter("g = 'hot'").groupBy(ordered._SEGMENT).count().collect()
+    rows, edges = ordered._segmented(skewed, ["g"], ["t", "id"], 64)
+    sizes = rows.filter("g = 'hot'").groupBy(ordered._SEGMENT).count().collect()
     assert len(sizes) > 8
     assert max(r["count"] for r in sizes) < 4 * 64
+    assert edges.count() <= 2 * -(-3000 // 64)
+
+
+def test_plans_have_no_cross_join(skewed):
+    frame = running_totals(skewed, [], ["t", "id"], {"place": F.lit(1)}, segment_rows=100)
+    assert "NestedLoop" not in frame._jdf.queryExecution().toString()
+    frame = add_previous(skewed, [], ["t", "id"], ["v"], segment_rows=100)
+    assert "NestedLoop" not in frame._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("segment_rows", [16, 10_000])

@@ -21,15 +21,19 @@ thousands) travel with the function; the model file is read by the driver only.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from stepguard.llm.common import mixed, text_slices
+from stepguard.llm.common import mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # How the model writes a space, and how much an unknown character costs below the lowest score.
@@ -38,11 +42,12 @@ UNKNOWN = 10.0
 DISABLED = -1e8  # pieces scored below are as good as never used, and don't set the lowest score
 WORD = re.compile(r" *[^ \n]+| +|\n+")
 BASE = np.uint64(0x100000001B3)
-PART_CHARS = 2_000_000
+MARKS = np.uint64(2**20 - 1)
+PART_CHARS = 1_000_000
 #: Characters of distinct words that are searched at a time.
 SEARCH_CHARS = 100_000
 #: Words whose pieces a task keeps. Only the work depends on it, not the result.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 
 
 class Pieces:
@@ -71,17 +76,22 @@ class Pieces:
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
         self.scores = np.array([scores[i] for i in ids], dtype=np.float64)[order]
+        # most substrings are no piece, and are told by the last bits of their hash
+        self.marked = np.zeros(int(MARKS) + 1, dtype=bool)
+        self.marked[(self.keys & MARKS).astype(np.int64)] = True
         usable = self.scores[self.scores > DISABLED]
         self.unknown = float(usable.min() if len(usable) else 0.0) - UNKNOWN
         self.bytes = np.frombuffer(b"".join(self.blobs), dtype=np.uint8)
         self.sizes = np.array([len(b) for b in self.blobs], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id of the piece with each hash; minus infinity and -1 without one."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = self.keys[at] == hashes
-        return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
+    def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a hash is a piece's, and the scores and ids of these pieces."""
+        likely = np.flatnonzero(self.marked[(hashes & MARKS).astype(np.int64)])
+        asked = hashes[likely]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        hit = self.keys[at] == asked
+        return likely[hit], self.scores[at[hit]], self.ids[at[hit]]
 
 
 def _hashed(text: str) -> np.uint64:
@@ -142,7 +152,8 @@ def _search(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
             before[last_ends] = hashes
             hashes = before[ends - 1] * BASE + single[ends]
         last_ends = ends
-        scores[size, ends], ids[size, ends] = pieces.probe(mixed(hashes, size))
+        hit, score, piece = pieces.probe(mixed(hashes, size))
+        scores[size, ends[hit]], ids[size, ends[hit]] = score, piece
     lost = ids[1] < 0
     scores[1, lost] = pieces.unknown
     found_word, found_end, found_id = [], [], []
@@ -185,6 +196,14 @@ def _search(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return chosen.astype(np.int32), np.bincount(word, minlength=len(words))
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class Encoder:
     """Encodes texts, and keeps the pieces of up to ``MOST_WORDS`` words for the next ones."""
 
@@ -193,23 +212,19 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Search new words, which follow the known ones in ``places``."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(lengths, kind="stable")
         found, counts = [self.ids], np.zeros(len(words), dtype=np.int64)
-        part, held = [], 0
-        for n, i in enumerate(order):
-            part.append(i)
-            held += len(words[i])
-            if held >= SEARCH_CHARS or n + 1 == len(words):
-                ids, sizes = _search([words[k] for k in part], self.pieces)
-                found.append(ids)
-                counts[part] = sizes
-                part, held = [], 0
+        upto = np.cumsum(lengths[order]) // SEARCH_CHARS
+        for part in np.split(order, np.flatnonzero(np.diff(upto)) + 1):
+            ids, counts[part] = _search([words[k] for k in part.tolist()], self.pieces)
+            found.append(ids)
         starts = np.empty(len(words), dtype=np.int64)
         in_order = counts[order]
         starts[order] = len(self.ids) + np.cumsum(in_order) - in_order
@@ -217,49 +232,30 @@ class Encoder:
         self.starts = np.concatenate([self.starts, starts])
         self.counts = np.concatenate([self.counts, counts])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's ids end."""
         if len(self.places) > MOST_WORDS:
             self.forget()
-        places, known = self.places, len(self.places)
-        words_of = []
-        for text in texts:
-            words = WORD.findall(" " + text) if text else []
-            words_of.append([places.setdefault(w, len(places)) for w in words])
-        if len(places) > known:
-            self.learn(list(islice(places, known, None)))
-        if not places:
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
-        every = np.fromiter(chain.from_iterable(words_of), dtype=np.int64)
+        known, place = len(self.places), self.places.__getitem__
+        words_of = [
+            np.fromiter(map(place, WORD.findall(" " + text)) if text else (), dtype=np.int64) for text in texts
+        ]
+        if len(self.places) > known:
+            self.learn(list(islice(self.places, known, None)))
+        every = np.concatenate(words_of) if words_of else np.zeros(0, dtype=np.int64)
         counts = self.counts[every]
         tokens = self.ids[_spans(self.starts[every], counts)]
         upto = np.concatenate(([0], np.cumsum(counts)))
-        ends = upto[np.cumsum([len(w) for w in words_of])]
-        return [tokens[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def decode(rows: list[np.ndarray], pieces: Pieces) -> list[str]:
-    texts = []
-    for ids in rows:
-        ids = np.asarray(ids, dtype=np.int64)
-        data = pieces.bytes[_spans(pieces.starts[ids], pieces.sizes[ids])].tobytes()
-        text = data.decode("utf-8", "replace")
-        texts.append(text[1:] if text.startswith(" ") else text)
-    return texts
-
-
-def encoded(text: Column, model: str = MODEL) -> Column:
-    """The ids of a text's pieces."""
-    parts = model_parts(model)
+        return tokens, upto[np.cumsum([len(w) for w in words_of], dtype=np.int64)]
 
-    @F.pandas_udf("array<int>")
-    def ids(batch: pd.Series) -> pd.Series:
-        encoder = _encoder(parts)
-        out = []
-        for _, texts in text_slices(batch, PART_CHARS):
-            out += encoder.encode(texts)
-        return pd.Series(out, dtype=object)
 
-    return ids(text)
+def decode(ids: np.ndarray, ends: np.ndarray, pieces: Pieces) -> list[str]:
+    """The texts that runs of ids spell, each up to one of the ends."""
+    ids = ids.astype(np.int64)
+    data = pieces.bytes[_spans(pieces.starts[ids], pieces.sizes[ids])].tobytes()
+    upto = np.concatenate(([0], np.cumsum(pieces.sizes[ids])))[ends].tolist()
+    texts = [data[s:e].decode("utf-8", "replace") for s, e in zip([0, *upto[:-1]], upto, strict=True)]
+    return [text[1:] if text.startswith(" ") else text for text in texts]
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
@@ -268,21 +264,50 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
 
     @F.pandas_udf("string")
     def texts(batch: pd.Series) -> pd.Series:
-        rows = [np.zeros(0, dtype=np.int64) if row is None else row for row in batch]
-        return pd.Series(decode(rows, _built(parts)), dtype=object)
+        rows = [np.zeros(0, dtype=np.int64) if row is None else np.asarray(row) for row in batch]
+        ends = np.cumsum([len(row) for row in rows], dtype=np.int64)
+        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        return pd.Series(decode(flat, ends, _built(parts)), dtype=object)
 
     return texts(ids)
 
 
+NEW = StructType(
+    [
+        StructField("token_ids", ArrayType(IntegerType())),
+        StructField("n_tokens", LongType()),
+        StructField("round_trip", BooleanType()),
+    ]
+)
+
+
 def with_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """The documents with ``token_ids``, ``n_tokens`` and whether they ``decode`` to the text."""
-    lower = ("token_ids", "n_tokens", "round_trip")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in lower]
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    ids = encoded(F.col(f"`{text_col}`"), model)
-    rows = docs.select(*kept, ids.alias("token_ids"))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        (decoded(F.col("token_ids"), model) == text).alias("round_trip"),
-    )
+    """The documents with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to the text.
+
+    Columns of the input with one of these names give way. Rows stay in Arrow; a part
+    of bounded size is encoded at a time.
+    """
+    parts = model_parts(model)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in NEW.names])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(parts)
+        for batch in batches:
+            texts = batch.column(text_col)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for part in slices(sizes, PART_CHARS):
+                rows = batch.slice(part.start, part.stop - part.start)
+                some = [t or "" for t in rows.column(text_col).to_pylist()]
+                ids, ends = encoder.encode(some)
+                same = [a == b for a, b in zip(decode(ids, ends, encoder.pieces), some, strict=True)]
+                starts = np.concatenate(([0], ends))
+                added = [
+                    pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
+                    pa.array(np.diff(starts)),
+                    pa.array(same, type=pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, *added], names=[*rows.schema.names, *NEW.names]
+                )
+
+    return kept.mapInArrow(add, StructType([*kept.schema.fields, *NEW.fields]))

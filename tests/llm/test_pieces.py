@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stepguard.llm import pieces as P
 
@@ -35,19 +36,24 @@ def plain_viterbi(text: str, model: P.Pieces, parts) -> list[int]:
     return ids
 
 
+def encoded(encoder: P.Encoder, texts: list[str]) -> list[np.ndarray]:
+    ids, ends = encoder.encode(texts)
+    return [ids[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def test_against_plain_search(model, rows):
     texts = [(t or "")[:1500] for _, t, *_ in rows]
-    got = P.Encoder(model).encode(texts)
+    got = encoded(P.Encoder(model), texts)
     parts = P.model_parts(P.MODEL)
     assert all(g.tolist() == plain_viterbi(t, model, parts) for g, t in zip(got, texts, strict=True))
 
 
 def test_forgetting_changes_nothing(model, rows, monkeypatch):
     texts = [t or "" for _, t, *_ in rows]
-    one = P.Encoder(model).encode(texts)
+    one = encoded(P.Encoder(model), texts)
     monkeypatch.setattr(P, "MOST_WORDS", 5)
     other = P.Encoder(model)
-    two = [ids for text in texts for ids in other.encode([text])]
+    two = [ids for text in texts for ids in encoded(other, [text])]
     assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
 
 
@@ -57,6 +63,8 @@ def test_round_trip(docs, rows, clashing, no_docs):
     found = got.collect()
     assert len(found) == len(rows) and all(r.round_trip for r in found)
     assert all(len(r.token_ids) == r.n_tokens == 0 for r in found if not r.text)
+    texts = got.select(P.decoded(F.col("token_ids")).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    assert texts.filter("t = text").count() == len(rows)
     again = P.with_pieces(clashing)
     assert again.columns.count("n_tokens") == 1 and again.filter("round_trip").count() == len(rows)
     assert P.with_pieces(no_docs).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +33,11 @@ def mixed_uniform(base: Column, trial: Column) -> Column:
     second = (first * first + 12345) % MODULUS
     third = (second * second + base) % MODULUS
     return third.cast("double") / F.lit(float(MODULUS))
+
+
+def mixed_uniform_array(base: int, trial: np.ndarray) -> np.ndarray:
+    """The same numbers as :func:`mixed_uniform`, for one base and many trials."""
+    first = (base + trial * 40692) % MODULUS
+    second = (first * first + 12345) % MODULUS
+    third = (second * second + base) % MODULUS
+    return third / float(MODULUS)

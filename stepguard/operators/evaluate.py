@@ -73,10 +73,14 @@ def score_curve(
     """Cumulative hits from the highest score down, one row per distinct score.
 
     Equal scores are merged before anything is ordered. The merged points are
-    stored, since the size check and the ordered pass both read them.
+    stored, since the row count and the ordered pass both read them. A score that
+    is null, NaN or infinite has no place in the order and stops the job.
     """
+    value = F.col(score).cast("double")
+    refused = F.raise_error(F.lit("a score is null or not finite")).cast("double")
+    unusable = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     points = checkpointed(
-        df.groupBy(*by, F.col(score).alias("threshold"))
+        df.groupBy(*by, F.when(unusable, refused).otherwise(F.col(score)).alias("threshold"))
         .agg(
             F.count_if(F.col(gold)).alias("pos"),
             F.count_if(~F.col(gold)).alias("neg"),

@@ -41,7 +41,9 @@ def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame)
         before = F.max(F.when(~inside, F.col("__upto")))
         summary.append(F.coalesce(before, F.lit(0)).alias(f"__before_{c}"))
     reached = broadcast_if_small(
-        bins.withColumn("__upto", upto).join(wanted, strata).groupBy(*strata, *cuts).agg(*summary)
+        _null_safe_join(bins.withColumn("__upto", upto), wanted, strata)
+        .groupBy(*strata, *cuts)
+        .agg(*summary)
     )
     at_cut = reduce(lambda a, b: a | b, [F.col("__bin") == F.col(f"__bin_{c}") for c in cuts])
     place = F.row_number().over(Window.partitionBy(*strata, "__bin").orderBy("__key"))
@@ -52,7 +54,7 @@ def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame)
         )
         found.append(F.max(F.when(hit, F.col("__key"))).alias(f"__edge_{c}"))
     edges = (
-        rows.join(reached, strata)
+        _null_safe_join(rows, reached, strata)
         .filter(at_cut)
         .withColumn("__place", place)
         .groupBy(*strata)
@@ -67,7 +69,14 @@ def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame)
             .alias(c)
         )
 
-    return reached.join(edges, strata, "left").select(*strata, *[cut(c) for c in cuts])
+    return _null_safe_join(reached, edges, strata, "left").select(*strata, *[cut(c) for c in cuts])
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"__n_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__n_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__n_{k}" for k in keys])
 
 
 def _with_cuts(
@@ -76,10 +85,10 @@ def _with_cuts(
     """Attach the cut keys found ``among`` some rows to all rows, as ``__cut_<name>``."""
     cuts = cut_keys(among, strata, key, wanted)
     renamed = cuts.withColumnsRenamed(
-        {c: f"__s_{c}" if c in strata else f"__cut_{c}" for c in cuts.columns}
+        {c: f"__n_{c}" if c in strata else f"__cut_{c}" for c in cuts.columns}
     )
-    same = reduce(lambda a, b: a & b, [F.col(s) == F.col(f"__s_{s}") for s in strata])
-    return df.join(broadcast_if_small(renamed), same, "left").drop(*[f"__s_{s}" for s in strata])
+    same = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"__n_{s}")) for s in strata])
+    return df.join(broadcast_if_small(renamed), same, "left").drop(*[f"__n_{s}" for s in strata])
 
 
 def balanced_sample(df: DataFrame, split: str, label: str, record_id: str, seed: int) -> DataFrame:
@@ -159,6 +168,12 @@ def key_multiplicity(df: DataFrame, key: str, expected: int) -> DataFrame:
     )
 
 
+def beyond(df: DataFrame, record_id: str) -> Callable[[Column, Column], Column]:
+    """Fresh ids for :func:`replicated` that no record has, for ids from zero up."""
+    step = df.agg(F.max(record_id) + 1).scalar()
+    return lambda record, copy: record + copy * step
+
+
 def replicated(
     df: DataFrame,
     record_id: str,

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepguard.functions.hashing import mixed_uniform, seeded_integer
+from stepguard.functions.hashing import mixed_uniform, mixed_uniform_array, seeded_integer
 from stepguard.functions.numbers import rate
 from stepguard.operators.ordered import SEGMENT_ROWS, running_totals
 from stepguard.session import broadcast_if_small
 
 SPLITS = ["train", "val", "test"]
+# Fixed value: the seed of the published split.
+SEARCH_SEED = 20260725
 
 
 def split_by_share(key: Column, shares: dict[str, float]) -> Column:
@@ -74,17 +78,26 @@ def trial_scores(
     """Score of each random group selection; lower is better.
 
     ``groups`` has (base, total, anomaly). Selections come from a hash of group
-    and trial, so no trial has to be stored, and the sums combine before the
-    shuffle: at most ``trials`` rows leave each task.
+    and trial, so no trial has to be stored. A task adds its groups up in three
+    vectors of ``trials`` numbers and passes these on, so no row of groups times
+    trials exists and at most ``trials`` rows leave each task.
     """
-    drawn = groups.select(
-        "base", "total", "anomaly", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    ).filter(mixed_uniform(F.col("base"), F.col("trial").cast("bigint")) < probability)
-    summed = drawn.groupBy("trial").agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.sum("total").alias("total"),
-        F.sum("anomaly").alias("anomaly"),
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, trials), dtype=np.int64)
+        trial = np.arange(trials, dtype=np.int64)
+        for batch in batches:
+            columns = [batch[c].to_numpy(np.int64) for c in ("base", "total", "anomaly")]
+            for base, total, anomaly in zip(*columns, strict=True):
+                chosen = mixed_uniform_array(base, trial) < probability
+                sums[:, chosen] += np.array([[1], [total], [anomaly]])
+        held = np.flatnonzero(sums[0])
+        yield pd.DataFrame(dict(zip(("groups", "total", "anomaly"), sums[:, held]), trial=held.astype(np.int32)))
+
+    partial = groups.select("base", "total", "anomaly").mapInPandas(
+        summed, "groups bigint, total bigint, anomaly bigint, trial int"
     )
+    added = partial.groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("groups", "total", "anomaly")])
     wanted = target_total * target_rate
     chosen_rate = F.col("anomaly") / F.col("total")
     score = (
@@ -92,12 +105,19 @@ def trial_scores(
         + 4.0 * F.try_divide(F.abs(chosen_rate - target_rate), target_rate)
         + F.try_divide(F.abs(F.col("anomaly") - wanted), wanted)
     )
-    return summed.filter("groups >= 2").withColumn("score", score)
+    return added.filter("groups >= 2").withColumn("score", score)
 
 
 def best_trial(scores: DataFrame) -> DataFrame:
-    """The trial with the lowest score; the earliest one wins a tie."""
-    return scores.agg(F.min_by("trial", F.struct("score", "trial")).alias("trial"))
+    """The trial with the lowest score; the earliest one wins a tie.
+
+    Trials without a score don't take part; if none has one, the job stops.
+    """
+    best = scores.filter("score IS NOT NULL").agg(
+        F.min_by("trial", F.struct("score", "trial")).alias("trial")
+    )
+    failed = F.raise_error(F.lit("no trial selects two groups and has a score")).cast("int")
+    return best.select(F.coalesce("trial", failed).alias("trial"))
 
 
 def stratified_group_split(
@@ -105,7 +125,7 @@ def stratified_group_split(
     group: str,
     trials: int = 60_000,
     share: float = 0.15,
-    seed: int = 20260725,
+    seed: int = SEARCH_SEED,
 ) -> DataFrame:
     """Search for test and validation groups that match size and positive rate.
 
@@ -122,9 +142,7 @@ def stratified_group_split(
         based = pool.withColumn("base", seeded_integer(f"{seed}-{name}", F.col(group)))
         scores = trial_scores(based, trials, probability, target_total, target_rate)
         trial = best_trial(scores).scalar().cast("bigint")
-        return based, F.coalesce(
-            mixed_uniform(F.col("base"), trial) < probability, F.lit(False)
-        )
+        return based, mixed_uniform(F.col("base"), trial) < probability
 
     based, in_test = search(profiles, "test", share)
     marked = based.withColumn("__test", in_test).drop("base")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepguard.functions.hashing import seeded_key
+from stepguard.functions.hashing import seeded_integer, seeded_key
+from stepguard.functions.numbers import group_key
 from stepguard.operators import profile as pf
 from stepguard.operators import sampling as sa
 from stepguard.operators import splits as sp
@@ -14,14 +15,15 @@ from stepguard.operators.boundary import near_threshold_cases
 from stepguard.operators.evaluate import accuracy_table
 from stepguard.operators.rules import add_labels
 from stepguard.plans import events as ev
-from stepguard.plans.catalog.evaluation import predictions
+from stepguard.plans.catalog.evaluation import verdicts
 from stepguard.plans.catalog.registry import LAB, PRED, query
-from stepguard.session import checkpointed
+from stepguard.session import checkpointed, scratch_path
+from stepguard.sources.readers import read_split_design
 from stepguard.sources.writers import stack
 
 SEED = 42
 SHARES = {"train": 0.7, "val": 0.2, "test": 0.1}
-TRIALS = 400
+TRIALS = 60_000
 
 # Row split inside each label, by rank of the seeded key.
 _ROWSPLIT = LAB + """, rk AS (SELECT event_id, user_id, state, is_anomaly, ts_us,
@@ -94,6 +96,29 @@ def c09(spark, folder):
     return out.select("user_id", "total", "cumulative", "split")
 
 
+@query(
+    "a04_split_design",
+    _CHRONO + """, sp AS (SELECT user_id, CASE WHEN cumulative <= cut1 THEN 'train'
+          WHEN cumulative <= cut2 THEN 'val' ELSE 'test' END AS design FROM cm, c1, c2)
+      SELECT design, count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS anomaly
+      FROM lab JOIN sp USING (user_id) GROUP BY design""",
+)
+def a04(spark, folder):
+    """The chronological split as a design document, read again and joined to the records."""
+    df = checkpointed(ev.labelled_events(spark, folder))
+    profiles = checkpointed(pf.group_profile(df, "user_id", "event_id", "ts_us", "is_anomaly"))
+    split = sp.chronological_split(profiles, "first_record_id", "total")
+    lists = split.groupBy("split").agg(F.collect_list(F.col("user_id").cast("string")).alias("users"))
+    whole = F.map_from_entries(F.collect_list(F.struct("split", "users"))).alias("split_cycles")
+    path = scratch_path(spark, "design")
+    lists.agg(whole).write.json(path)
+    design = read_split_design(spark, path).withColumnRenamed("split", "design")
+    joined = df.join(design, group_key(F.col("user_id")) == F.col("group"))
+    return joined.groupBy("design").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomaly")
+    )
+
+
 @query(
     "c10_lowest_keys_per_label",
     LAB + """SELECT event_id, is_anomaly, sha256('42:' || event_id) AS selection_key FROM lab
@@ -306,8 +331,8 @@ def f01(spark, folder):
 
 @query(
     "d23_f04_replication",
-    """WITH c AS (SELECT sha256(regexp_replace('id:' || (event_id + i * 1000000) || ' user:' || user_id,
-          'id:[0-9]+', 'id:<ID>')) AS key FROM events, range(3) t(i))
+    """WITH c AS (SELECT sha256(regexp_replace('id:' || (event_id + i * (SELECT max(event_id) + 1 FROM events))
+          || ' user:' || user_id, 'id:[0-9]+', 'id:<ID>')) AS key FROM events, range(3) t(i))
       SELECT count(*) AS distinct_keys, sum(n)::BIGINT AS rows, min(n) AS min_copies,
         max(n) AS max_copies, count(*) FILTER (WHERE n <> 3) AS unexpected_keys
       FROM (SELECT key, count(*) AS n FROM c GROUP BY key)""",
@@ -315,22 +340,21 @@ def f01(spark, folder):
 def d23(spark, folder):
     text = F.concat(F.lit("id:"), F.col("event_id"), F.lit(" user:"), F.col("user_id"))
     df = ev.events(spark, folder).select("event_id", text.alias("prompt"))
-    copies = sa.replicated(
-        df, "event_id", 3, lambda i, c: i + c * 1_000_000, "prompt", "id:"
-    )
+    copies = sa.replicated(df, "event_id", 3, sa.beyond(df, "event_id"), "prompt", "id:")
     keyed = copies.withColumn("key", F.sha2(F.regexp_replace("prompt", "id:[0-9]+", "id:<ID>"), 256))
     return sa.key_multiplicity(keyed, "key", 3)
 
 
 @query(
     "f04_replicated_rows",
-    """SELECT event_id + i * 1000000 AS event_id, 'id:' || (event_id + i * 1000000) || ' user:' || user_id
-       AS prompt FROM events, range(3) t(i)""",
+    """WITH m AS (SELECT max(event_id) + 1 AS step FROM events)
+       SELECT event_id + i * step AS event_id, 'id:' || (event_id + i * step) || ' user:' || user_id
+       AS prompt FROM events, range(3) t(i), m""",
 )
 def f04(spark, folder):
     text = F.concat(F.lit("id:"), F.col("event_id"), F.lit(" user:"), F.col("user_id"))
     df = ev.events(spark, folder).select("event_id", text.alias("prompt"))
-    return sa.replicated(df, "event_id", 3, lambda i, c: i + c * 1_000_000, "prompt", "id:")
+    return sa.replicated(df, "event_id", 3, sa.beyond(df, "event_id"), "prompt", "id:")
 
 
 @query(
@@ -430,9 +454,10 @@ def f08(spark, folder):
         FROM lab GROUP BY split""",
 )
 def f12(spark, folder):
-    scored = accuracy_table(predictions(spark, folder), ["method", "dataset"], "gold", "pred")
+    labelled = checkpointed(ev.labelled_events(spark, folder))
+    scored = accuracy_table(verdicts(labelled), ["method", "dataset"], "gold", "pred")
     scored = scored.select("method", "dataset", F.lit("rules").alias("family"), "samples", "correct")
-    counts = ev.labelled_events(spark, folder).groupBy(F.col("split").alias("dataset")).agg(
+    counts = labelled.groupBy(F.col("split").alias("dataset")).agg(
         F.count(F.lit(1)).alias("samples"), F.count_if("is_anomaly").alias("positives")
     )
     counts = counts.withColumns({"method": F.lit("none"), "family": F.lit("labels")})
@@ -474,8 +499,6 @@ def g02(spark, folder):
       WHERE trial = (SELECT trial FROM test_best)""",
 )
 def g04(spark, folder):
-    from stepguard.functions.hashing import seeded_integer
-
     df = ev.labelled_events(spark, folder)
     profiles = checkpointed(pf.group_profile(df, "user_id", "event_id", "ts_us", "is_anomaly"))
     sums = profiles.agg(F.struct(F.sum("total").alias("t"), F.sum("anomaly").alias("a"))).scalar()

@@ -17,6 +17,8 @@ from stepguard.operators.rules import (
 from stepguard.operators.splits import SPLITS
 from stepguard.plans import events as ev
 from stepguard.plans.catalog.registry import BAND, LAB, PRED, query
+from stepguard.plans.verification import near_threshold_report
+from stepguard.session import checkpointed
 
 METHODS = ["k_jump", "no_r1", "value", "value_jump"]
 KEYS = ["method", "dataset"]
@@ -24,7 +26,10 @@ KEYS = ["method", "dataset"]
 
 def predictions(spark, folder) -> DataFrame:
     """Verdicts of four simple methods on every event; the dataset is the split."""
-    df = ev.labelled_events(spark, folder)
+    return verdicts(ev.labelled_events(spark, folder))
+
+
+def verdicts(df: DataFrame, record_id: str = "event_id") -> DataFrame:
     without_r1 = any_rule(["r2", "r3", "r4", "r5"])
     methods = {
         "k_jump": (F.coalesce("k_diff", F.lit(0.0)), 80.0),
@@ -39,7 +44,7 @@ def predictions(spark, folder) -> DataFrame:
         ]
     )
     return df.select(
-        F.col("event_id").alias("record_id"),
+        F.col(record_id).alias("record_id"),
         F.col("split").alias("dataset"),
         F.col("is_anomaly").alias("gold"),
         F.col("state"),
@@ -141,9 +146,8 @@ def d16(spark, folder):
 
 
 # Bisection for the bounds: the tail P(X >= k) or P(X <= k) sums binomial terms in log space.
-_INTERVAL = PRED + """, acc AS (SELECT method, dataset, count(*) AS samples,
-        count(*) FILTER (WHERE pred = gold) AS correct,
-        count(*) FILTER (WHERE pred <> gold) AS errors FROM pred GROUP BY ALL),
+# Exact bounds of the cells in ``acc`` (samples, correct), by halving the tail sums.
+_BOUNDS = """
       terms AS (SELECT *, range(correct, samples + 1) AS upper, range(0, correct + 1) AS lower FROM acc),
       logs AS (SELECT *,
         list_transform(upper, lambda i: lgamma(samples + 1.0) - lgamma(i + 1.0) - lgamma(samples - i + 1.0)) AS lu,
@@ -160,6 +164,11 @@ _INTERVAL = PRED + """, acc AS (SELECT method, dataset, count(*) AS samples,
             > 0.025 THEN s + power(0.5, i + 2) ELSE s END,
           CASE WHEN list_sum(list_transform(lower, lambda j, n: exp(ll[n] + samples * ln(0.5)))) > 0.025
             THEN 0.5 ELSE 0.0 END) AS high FROM logs)
+"""
+
+_INTERVAL = PRED + """, acc AS (SELECT method, dataset, count(*) AS samples,
+        count(*) FILTER (WHERE pred = gold) AS correct,
+        count(*) FILTER (WHERE pred <> gold) AS errors FROM pred GROUP BY ALL),""" + _BOUNDS + """
       SELECT method, dataset, samples, correct, errors, round(correct / samples, 8) AS accuracy,
         round(CASE WHEN correct = 0 THEN 0 ELSE low END, 8) AS accuracy_exact_ci_lower,
         round(CASE WHEN correct = samples THEN 1 ELSE high END, 8) AS accuracy_exact_ci_upper FROM bounds
@@ -255,35 +264,71 @@ _NEAR = """, near AS (SELECT event_id AS record_id, rule, side, is_anomaly, rule
       FROM band WHERE window_name = 'primary')
 """
 
+# Verdicts of the four methods on every event.
+_SCORED = """, p AS (SELECT event_id AS record_id, is_anomaly AS gold, m.method, m.pred
+        FROM lab, LATERAL (VALUES ('k_jump', coalesce(k_diff, 0) >= 80),
+          ('no_r1', r2 OR r3 OR r4 OR r5), ('value', value >= 200),
+          ('value_jump', coalesce(value_diff, 0) >= 100)) m(method, pred))"""
+
+
 
 @query(
     "d20_accuracy_by_threshold_side",
-    BAND + _NEAR + """, p AS (SELECT event_id AS record_id, is_anomaly AS gold, m.method, m.pred
-        FROM lab, LATERAL (VALUES ('value', value >= 200),
-          ('value_jump', coalesce(value_diff, 0) >= 100)) m(method, pred)),
-      grid AS (SELECT * FROM (VALUES ('value'), ('value_jump')) a(method),
+    BAND + _NEAR + _SCORED + """,
+      grid AS (SELECT * FROM (VALUES ('k_jump'), ('no_r1'), ('value'), ('value_jump')) a(method),
         (VALUES ('r1'),('r2'),('r3'),('r4'),('r5')) b(rule), (VALUES ('all'),('isolated')) c(scope),
         (VALUES ('below_or_equal'),('above')) d(side)),
-      j AS (SELECT * FROM near JOIN p USING (record_id))
-      SELECT g.method, g.rule, g.scope, g.side, count(j.record_id) AS samples,
-        count(*) FILTER (WHERE j.pred = j.gold) AS correct,
-        round(count(*) FILTER (WHERE j.pred = j.gold) / nullif(count(j.record_id), 0), 9) AS accuracy
-      FROM grid g LEFT JOIN j USING (method, rule, scope, side) GROUP BY ALL""",
+      j AS (SELECT * FROM near JOIN p USING (record_id)),
+      acc AS (SELECT g.method, g.rule, g.scope, g.side, count(j.record_id) AS samples,
+          count(*) FILTER (WHERE j.pred = j.gold) AS correct
+        FROM grid g LEFT JOIN j USING (method, rule, scope, side) GROUP BY ALL),""" + _BOUNDS + """
+      SELECT method, rule, scope, side, samples, correct, round(correct / nullif(samples, 0), 8) AS accuracy,
+        round(CASE WHEN samples = 0 THEN NULL WHEN correct = 0 THEN 0 ELSE low END, 8)
+          AS accuracy_exact_ci_lower,
+        round(CASE WHEN samples = 0 THEN NULL WHEN correct = samples THEN 1 ELSE high END, 8)
+          AS accuracy_exact_ci_upper FROM bounds""",
 )
 def d20(spark, folder):
-    chosen = ["value", "value_jump"]
-    preds = predictions(spark, folder).filter(F.col("method").isin(chosen))
-    joined = near_predictions(spark, folder).join(
-        preds.select("record_id", "method", "gold", "pred"), "record_id"
-    )
+    preds = predictions(spark, folder).select("record_id", "method", "gold", "pred")
+    joined = near_predictions(spark, folder).join(preds, "record_id")
     axes = {
-        "method": chosen,
+        "method": METHODS,
         "rule": ev.RULE_NAMES,
         "scope": ["all", "isolated"],
         "side": ["below_or_equal", "above"],
     }
     out = ea.dense_accuracy_table(joined, axes, "gold", "pred")
-    return rounded(out.drop("accuracy_exact_ci_lower", "accuracy_exact_ci_upper"), ["accuracy"])
+    return rounded(out, ["accuracy", "accuracy_exact_ci_lower", "accuracy_exact_ci_upper"], 8)
+
+
+@query(
+    "d18_near_threshold_tests",
+    BAND + _NEAR + _SCORED + """,
+      j AS (SELECT record_id, rule, scope, method, pred, gold FROM near JOIN p USING (record_id)),
+      pr AS (SELECT a.rule, a.scope, a.method AS first, b.method AS second,
+          count(*) FILTER (WHERE a.pred = a.gold AND b.pred <> b.gold) AS one,
+          count(*) FILTER (WHERE a.pred <> a.gold AND b.pred = b.gold) AS two
+        FROM j a JOIN j b ON a.record_id = b.record_id AND a.rule = b.rule AND a.scope = b.scope
+          AND a.method < b.method GROUP BY ALL),
+      mc AS (SELECT *, CASE WHEN one = two THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(
+          range(0, least(one, two) + 1), lambda i: exp(lgamma(one + two + 1.0) - lgamma(i + 1.0)
+            - lgamma(one + two - i + 1.0) - (one + two) * ln(2.0))))) END AS p FROM pr),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY rule, scope ORDER BY p, first, second) AS place,
+          count(*) OVER (PARTITION BY rule, scope) AS m FROM mc)
+      SELECT rule, scope, first, second, one AS first_correct_second_wrong,
+        two AS first_wrong_second_correct, round(p, 9) AS exact_two_sided_p,
+        round(max(least(1.0, (m - place + 1) * p)) OVER (PARTITION BY rule, scope ORDER BY place), 9)
+          AS holm_adjusted_p FROM rk""",
+)
+def d18_near(spark, folder):
+    """The paired tests of the near-threshold report, with step-down correction per rule and scope."""
+    labelled = checkpointed(ev.labelled_events(spark, folder).withColumnRenamed("event_id", "record_id"))
+    preds = verdicts(labelled, "record_id").withColumnRenamed("score", "anomaly_score")
+    paired = near_threshold_report(labelled, preds, ev.RULES, METHODS).paired
+    return rounded(paired, ["exact_two_sided_p", "holm_adjusted_p"]).select(
+        "rule", "scope", "first", "second", "first_correct_second_wrong", "first_wrong_second_correct",
+        "exact_two_sided_p", "holm_adjusted_p",
+    )
 
 
 @query(
@@ -311,21 +356,28 @@ def d21(spark, folder):
 
 @query(
     "d22_override_accounting",
-    PRED + """SELECT method, dataset, count(*) AS samples,
+    PRED + """, v AS (SELECT *, gold <> (record_id % 7 = 0) AS ruled FROM pred)
+      SELECT method, dataset, count(*) AS samples,
         round(count(*) FILTER (WHERE gold) / count(*), 9) AS prevalence,
         round(count(*) FILTER (WHERE pred = gold) / count(*), 9) AS model_accuracy,
         count(*) FILTER (WHERE NOT gold AND pred) AS model_fp,
         count(*) FILTER (WHERE gold AND NOT pred) AS model_fn,
-        count(*) FILTER (WHERE pred <> gold) AS inconsistencies,
-        count(*) FILTER (WHERE pred <> gold) AS corrected_model_errors,
-        0 AS unnecessary_overrides, count(*) FILTER (WHERE gold) AS final_tp, 0 AS final_fp,
-        count(*) FILTER (WHERE NOT gold) AS final_tn, 0 AS final_fn, 1.0::DOUBLE AS final_accuracy
-      FROM pred GROUP BY ALL""",
+        count(*) FILTER (WHERE pred <> ruled) AS inconsistencies,
+        count(*) FILTER (WHERE pred <> ruled AND pred <> gold) AS corrected_model_errors,
+        count(*) FILTER (WHERE pred <> ruled AND pred = gold) AS unnecessary_overrides,
+        count(*) FILTER (WHERE gold AND ruled) AS final_tp,
+        count(*) FILTER (WHERE NOT gold AND ruled) AS final_fp,
+        count(*) FILTER (WHERE NOT gold AND NOT ruled) AS final_tn,
+        count(*) FILTER (WHERE gold AND NOT ruled) AS final_fn,
+        round(count(*) FILTER (WHERE gold = ruled) / count(*), 9) AS final_accuracy
+      FROM v GROUP BY ALL""",
 )
 def d22(spark, folder):
-    df = predictions(spark, folder).withColumn("rule_pred", F.col("gold"))
+    """Overrides by a rule verdict that is wrong on every seventh record."""
+    wrong = F.col("record_id") % 7 == 0
+    df = predictions(spark, folder).withColumn("rule_pred", F.col("gold") != wrong)
     out = ea.overrides(df, KEYS, "gold", "pred", "rule_pred", "rule_pred")
-    return rounded(out, ["prevalence", "model_accuracy"])
+    return rounded(out, ["prevalence", "model_accuracy", "final_accuracy"])
 
 
 @query(
@@ -348,12 +400,12 @@ def d31(spark, folder):
 @query(
     "e02_prediction_join",
     PRED + """SELECT p.record_id, p.method, p.pred, lab.is_anomaly AS rule_pred
-      FROM pred p JOIN lab ON lab.event_id = p.record_id
-      WHERE p.method = 'value' AND lab.state = 'purchase'""",
+      FROM pred p JOIN lab ON lab.event_id = p.record_id""",
 )
 def e02(spark, folder):
-    preds = predictions(spark, folder).filter("method = 'value'")
-    reference = ev.labelled_events(spark, folder).filter("state = 'purchase'").select(
+    labelled = checkpointed(ev.labelled_events(spark, folder))
+    preds = verdicts(labelled)
+    reference = labelled.select(
         F.col("event_id").alias("record_id"), F.col("is_anomaly").alias("rule_pred")
     )
     return preds.join(reference, "record_id").select("record_id", "method", "pred", "rule_pred")
@@ -449,6 +501,10 @@ def e11(spark, folder):
     PRED + """SELECT record_id, gold,
         bool_or(pred) FILTER (WHERE method = 'value') AS value_pred,
         round(max(score) FILTER (WHERE method = 'value'), 6) AS value_score,
+        bool_or(pred) FILTER (WHERE method = 'value_jump') AS value_jump_pred,
+        round(max(score) FILTER (WHERE method = 'value_jump'), 6) AS value_jump_score,
+        bool_or(pred) FILTER (WHERE method = 'no_r1') AS no_r1_pred,
+        round(max(score) FILTER (WHERE method = 'no_r1'), 6) AS no_r1_score,
         bool_or(pred) FILTER (WHERE method = 'k_jump') AS k_jump_pred,
         round(max(score) FILTER (WHERE method = 'k_jump'), 6) AS k_jump_score
       FROM pred WHERE gold GROUP BY ALL""",
@@ -456,5 +512,5 @@ def e11(spark, folder):
 def e12(spark, folder):
     df = rounded(predictions(spark, folder).filter("gold"), ["score"], 6)
     return ea.case_table(
-        df, "record_id", ["gold"], "method", ["value", "k_jump"], ["pred", "score"]
+        df, "record_id", ["gold"], "method", METHODS, ["pred", "score"]
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stepguard.operators.align import manifest_check
 from stepguard.plans import events as ev
 from stepguard.plans.catalog.profiles import sequences
 from stepguard.plans.catalog.registry import LAB, query
-from stepguard.session import scratch_path
+from stepguard.session import checkpointed, scratch_path
 from stepguard.sources.manifest import fingerprints
-from stepguard.sources.readers import read_csv, read_jsonl
+from stepguard.sources.readers import read_csv, read_json_array, read_jsonl
 from stepguard.sources.writers import land, stack, write_csv, write_flagged, write_jsonl
 
 EVENT_SCHEMA = "event_id bigint, ts_us bigint, user_id bigint, state string, value double, k double"
@@ -32,6 +33,57 @@ def a02(spark, folder):
     )
 
 
+@query(
+    "a01_json_array",
+    LAB + """SELECT state, count(*) AS n, round(sum(value), 4) AS value_sum,
+      sum(ts_us % 1000)::BIGINT AS micros FROM ev GROUP BY state""",
+)
+def a01(spark, folder):
+    """Events as JSON arrays, one per file and about a thousand records each, read back."""
+    path = scratch_path(spark, "events-arrays")
+    rows = ev.events(spark, folder)
+    files = F.pmod(F.xxhash64("event_id"), F.lit(-(-rows.count() // 1000) or 1))
+    arrays = rows.groupBy(files).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_array(spark, path, EVENT_SCHEMA).groupBy("state").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("value"), 4).alias("value_sum"),
+        F.sum(F.col("ts_us") % 1000).alias("micros"),
+    )
+
+
+@query(
+    "a08_refused_overwrite",
+    "SELECT true AS refused, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM events",
+)
+def a08(spark, folder):
+    """A second write to the same place is refused and leaves the first one as it was."""
+    path = scratch_path(spark, "landed-events")
+    rows = ev.events(spark, folder)
+    land(rows, path)
+    refused = False
+    try:
+        land(rows.limit(1), path)
+    except AnalysisException as error:
+        refused = "PATH_ALREADY_EXISTS" in str(error)
+    return spark.read.parquet(path).agg(
+        F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum")
+    )
+
+
+@query(
+    "g03_first_lines",
+    LAB + "SELECT event_id, state FROM ev ORDER BY event_id LIMIT 500",
+)
+def g03(spark, folder):
+    """The first lines of JSON files written in the order of the ids."""
+    path = scratch_path(spark, "ordered-jsonl")
+    write_jsonl(ev.events(spark, folder).orderBy("event_id"), path)
+    return read_jsonl(spark, path, EVENT_SCHEMA, limit=500).select("event_id", "state")
+
+
 @query(
     "a03_a06_csv_union_header",
     LAB + """SELECT 'state' AS kind, state, NULL::BIGINT AS user_id, count(*) AS n, NULL::BIGINT AS anomaly
@@ -40,7 +92,7 @@ def a02(spark, folder):
         GROUP BY user_id""",
 )
 def a03(spark, folder):
-    df = ev.labelled_events(spark, folder)
+    df = checkpointed(ev.labelled_events(spark, folder))
     by_state = df.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
     by_user = df.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomaly")

@@ -6,7 +6,7 @@ channels are ``value`` and the number ``k`` inside ``props``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepguard.functions.hashing import seeded_key
@@ -44,11 +44,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def epoch_micros(name: str, kind: str) -> Column:
+    """Microseconds since 1970 of a time with or without zone.
+
+    A time without zone is counted as it is written, whatever the session's zone.
+    """
+    if kind != "timestamp_ntz":
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    passed = f"({name} - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    hours = f"extract(DAY FROM {passed}) * 24L + extract(HOUR FROM {passed})"
+    minutes = f"({hours}) * 60L + extract(MINUTE FROM {passed})"
+    micros = f"cast(extract(SECOND FROM {passed}) * 1000000 AS bigint)"
+    return F.expr(f"({minutes}) * 60000000L + {micros}")
+
+
 def from_raw(raw: DataFrame) -> DataFrame:
     """Typed events, from a batch table or a stream."""
     return raw.select(
         "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_micros("ts", dict(raw.dtypes)["ts"]).alias("ts_us"),
         "user_id",
         F.col("event_type").alias("state"),
         "value",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table was counted and is small enough.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, max_bytes: int = SMALL_TABLE_BYTES
+) -> DataFrame:
+    """Hint a broadcast only when the table was measured and is small enough.
 
-    A larger table is returned unhinted, so Spark joins it by a shuffle.
+    Rows are counted, and their bytes as JSON text added up. A larger table is
+    returned unhinted, so Spark joins it by a shuffle.
     """
     stored = checkpointed(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, held = stored.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(stored) if rows <= max_rows and held <= max_bytes else stored

@@ -21,9 +21,19 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 def read_jsonl(
     spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None
 ) -> DataFrame:
-    """One JSON document per line; blank lines are skipped."""
+    """One JSON document per line; blank lines are skipped.
+
+    With a limit these are the first lines, files taken in the order of their names.
+    """
     rows = spark.read.schema(schema).json(path)
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    # within a block, ids grow in the order of reading
+    numbered = rows.select(
+        "*", *[F.col(p).alias(f"__{n}") for n, p in enumerate(place)], F.monotonically_increasing_id().alias("__2")
+    )
+    return numbered.orderBy("__0", "__1", "__2").limit(limit).drop("__0", "__1", "__2")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -15,7 +15,7 @@ from stepguard.session import checkpointed
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, path double"
+    "tree int, node int, feature int, threshold double, left int, right int, path double, rows int"
 )
 
 
@@ -43,11 +43,11 @@ def grow_tree(tree: int, rows: np.ndarray, seed: int) -> pd.DataFrame:
         low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (None, None)
         split = np.flatnonzero(high > low) if len(part) > 1 and depth < limit else []
         if len(split) == 0:
-            nodes.append([tree, place, -1, 0.0, -1, -1, depth + expected_depth(len(part))[0]])
+            nodes.append([tree, place, -1, 0.0, -1, -1, depth + expected_depth(len(part))[0], len(part)])
             continue
         feature = int(rng.choice(split))
         threshold = float(rng.uniform(low[feature], high[feature]))
-        nodes.append([tree, place, feature, threshold, -1, -1, 0.0])
+        nodes.append([tree, place, feature, threshold, -1, -1, 0.0, len(part)])
         below = part[:, feature] <= threshold
         waiting.append((part[below], depth + 1, place, 4))
         waiting.append((part[~below], depth + 1, place, 5))
@@ -64,19 +64,17 @@ def tree_samples(
 ) -> DataFrame:
     """At most ``sample_rows`` random rows for every tree.
 
-    Rows are thinned by a hash before they are shuffled, so the shuffle holds
-    about one and a half times the rows the trees need, whatever the table
-    size. Small tables send each row to several trees instead.
+    One rule for tables of any size: a row goes to ``rate`` trees on average, one
+    and a half times what the trees need, but to none of them twice. Rows are
+    thinned by a hash before they are shuffled, so the shuffle holds that many
+    rows, whatever the size of the table.
     """
-    wanted = trees * sample_rows
-    total = df.count()
-    copies = max(1, -(-3 * wanted // (2 * max(total, 1))))
-    copies = min(copies, trees)
-    keep = min(1.0, 1.5 * wanted / max(total * copies, 1))
-    spread = df.select(
-        record_id, features, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    rate = min(float(trees), 1.5 * trees * sample_rows / max(df.count(), 1))
+    more = _uniform(record_id, salt=f"{seed}-keep") < rate - int(rate)
+    copies = F.lit(int(rate)) + more.cast("int")
+    drawn = df.select(record_id, features, copies.alias("copies")).filter("copies > 0").select(
+        record_id, features, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     )
-    drawn = spread.filter(_uniform(record_id, "copy", salt=f"{seed}-keep") < keep)
     # The copies of a row go to different trees: they start at a random tree and step by one.
     start = F.floor(_uniform(record_id, salt=f"{seed}-tree") * trees)
     placed = drawn.select(
@@ -114,10 +112,11 @@ def fit_isolation_forest(
 
 
 def score_isolation_forest(
-    df: DataFrame, nodes: DataFrame, features: str, sample_rows: int = 256, out: str = "score"
+    df: DataFrame, nodes: DataFrame, features: str, out: str = "score"
 ) -> DataFrame:
     """Anomaly score in (0, 1]; higher is more isolated.
 
+    Depths are scaled by the rows that the trees were really grown on.
     The node table is bounded by trees and sample size, not by the data, and is
     sent to every executor once.
     """
@@ -130,7 +129,8 @@ def score_isolation_forest(
         for _, part in table.groupby("tree")
     ]
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    scale = float(expected_depth(sample_rows)[0])
+    grown = table.loc[table["node"] == 0, "rows"]
+    scale = max(float(expected_depth(grown.mean() if len(grown) else 1.0)[0]), 1e-12)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -171,9 +171,11 @@ def fit_random_forest(
     label: str,
     features: str,
     trees: int = 500,
-    depth: int = 12,
+    depth: int = 30,
     seed: int = 42,
 ) -> RandomForestClassificationModel:
+    """Both labels weigh the same. The depth is the largest that trees can have here,
+    so leaves are pure wherever the rows allow it."""
     weighted = balanced_weight(df, label).select(
         F.col(label).cast("double").alias("label"),
         array_to_vector(F.col(features)).alias("vector"),

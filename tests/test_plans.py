@@ -176,7 +176,7 @@ def test_isolation_forest_finds_far_rows(spark):
     sizes = {r["tree"]: r["count"] for r in samples.groupBy("tree").count().collect()}
     assert len(sizes) == 60 and max(sizes.values()) == 128 and min(sizes.values()) > 100
     nodes = fit_isolation_forest(df, "id", "x", 60, 128, 1)
-    scored = score_isolation_forest(df, nodes, "x", 128).orderBy(F.desc("score")).limit(6)
+    scored = score_isolation_forest(df, nodes, "x").orderBy(F.desc("score")).limit(6)
     assert {r["id"] for r in scored.collect()} == {1000 + i for i in range(6)}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stepguard.functions.numbers import rate
 from stepguard.functions.stats import exact_interval, mcnemar_p
 from stepguard.operators.ordered import SEGMENT_ROWS, running_totals
+from stepguard.operators.profile import zero_grid
 from stepguard.session import checkpointed
 
 COUNTS = ["samples", "tp", "fp", "tn", "fn"]
@@ -169,13 +170,11 @@ def dense_accuracy_table(
     df: DataFrame, axes: dict[str, Sequence[str]], gold: str, pred: str
 ) -> DataFrame:
     """Accuracy with exact bounds for every cell of a grid; empty cells keep nulls."""
-    from stepguard.operators.profile import _zero_grid
-
     right = F.col(pred) == F.col(gold)
     counted = df.groupBy(*axes).agg(
         F.count(F.lit(1)).alias("samples"), F.count_if(right).alias("correct")
     )
-    zeros = _zero_grid(df, axes, ["samples", "correct"])
+    zeros = zero_grid(df, axes, ["samples", "correct"])
     dense = counted.unionByName(zeros).groupBy(*axes).agg(
         F.sum("samples").alias("samples"), F.sum("correct").alias("correct")
     )

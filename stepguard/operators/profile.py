@@ -25,7 +25,7 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def _zero_grid(df: DataFrame, axes: dict[str, Sequence], measures: Sequence[str]) -> DataFrame:
+def zero_grid(df: DataFrame, axes: dict[str, Sequence], measures: Sequence[str]) -> DataFrame:
     rows = [values + (0,) * len(measures) for values in product(*axes.values())]
     schema = ", ".join([f"`{a}` string" for a in axes] + [f"`{m}` bigint" for m in measures])
     return df.sparkSession.createDataFrame(rows, schema)
@@ -35,7 +35,7 @@ def _dense_with_total(
     counts: DataFrame, axes: dict[str, Sequence], split: str, measures: Sequence[str]
 ) -> DataFrame:
     """Add the missing cells as zeros, then the total over all splits."""
-    filled = counts.select(*axes, *measures).unionByName(_zero_grid(counts, axes, measures))
+    filled = counts.select(*axes, *measures).unionByName(zero_grid(counts, axes, measures))
     doubled = filled.withColumn(split, F.explode(F.array(F.col(split), F.lit(ALL))))
     return doubled.groupBy(*axes).agg(*[F.sum(m).alias(m) for m in measures])
 
@@ -100,7 +100,7 @@ def unique_trigger_counts(df: DataFrame, triggers: str, names: Sequence[str]) ->
     """Records on which exactly one rule fired, per rule."""
     single = df.filter(F.size(triggers) == 1).select(F.element_at(triggers, 1).alias("rule"))
     counts = single.groupBy("rule").agg(F.count(F.lit(1)).alias("unique_triggers"))
-    zero = _zero_grid(df, {"rule": names}, ["unique_triggers"])
+    zero = zero_grid(df, {"rule": names}, ["unique_triggers"])
     return counts.unionByName(zero).groupBy("rule").agg(
         F.sum("unique_triggers").alias("unique_triggers")
     )

@@ -209,10 +209,8 @@ def e01(spark, folder):
     LAB + """SELECT event_id, value FROM ev WHERE user_id IN (SELECT user_id FROM lab WHERE r5)""",
 )
 def e04(spark, folder):
-    df = ev.labelled_events(spark, folder)
-    return ev.events(spark, folder).join(df.filter("r5"), "user_id", "left_semi").select(
-        "event_id", "value"
-    )
+    df = checkpointed(ev.labelled_events(spark, folder).select("event_id", "user_id", "value", "r5"))
+    return df.join(df.filter("r5").select("user_id"), "user_id", "left_semi").select("event_id", "value")
 
 
 @query(

@@ -244,10 +244,10 @@ def d19(spark, folder):
     return rounded(ea.accuracy_table(df, ["case_type", "method"], "gold", "pred"), ["accuracy"])
 
 
-def near_predictions(spark, folder) -> DataFrame:
-    """Predictions on records near a threshold, for all of them and the isolated ones."""
+def near_predictions(labelled: DataFrame) -> DataFrame:
+    """Records near a threshold, for all of them and the isolated ones."""
     near = band_members(
-        ev.labelled_events(spark, folder), ev.RULES, ["event_id", "rule_triggers", "is_anomaly"]
+        labelled, ev.RULES, ["event_id", "rule_triggers", "is_anomaly"]
     ).filter("window_name = 'primary'")
     scopes = F.array_compact(
         F.array(
@@ -289,8 +289,9 @@ _SCORED = """, p AS (SELECT event_id AS record_id, is_anomaly AS gold, m.method,
           AS accuracy_exact_ci_upper FROM bounds""",
 )
 def d20(spark, folder):
-    preds = predictions(spark, folder).select("record_id", "method", "gold", "pred")
-    joined = near_predictions(spark, folder).join(preds, "record_id")
+    labelled = checkpointed(ev.labelled_events(spark, folder))
+    preds = verdicts(labelled).select("record_id", "method", "gold", "pred")
+    joined = near_predictions(labelled).join(preds, "record_id")
     axes = {
         "method": METHODS,
         "rule": ev.RULE_NAMES,
@@ -344,7 +345,7 @@ def d18_near(spark, folder):
 )
 def d21(spark, folder):
     others = ~isolated(F.col("rule_triggers"), F.col("rule"))
-    return near_predictions(spark, folder).groupBy("rule", "scope").agg(
+    return near_predictions(ev.labelled_events(spark, folder)).groupBy("rule", "scope").agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if(F.col("side") == "below_or_equal").alias("below_or_equal"),
         F.count_if(F.col("side") == "above").alias("above"),
@@ -487,7 +488,7 @@ def e10(spark, folder):
         AS accuracy FROM c""",
 )
 def e11(spark, folder):
-    df = ev.labelled_events(spark, folder).withColumnRenamed("event_id", "record_id")
+    df = checkpointed(ev.labelled_events(spark, folder).withColumnRenamed("event_id", "record_id"))
     labels = variants_long(df, label_variants(ev.RULES, ev.REMOVALS), ["record_id"])
     preds = df.select("record_id", F.lit("value").alias("method"), (F.col("value") >= 150).alias("pred"))
     out = ea.rescored(preds, labels, "record_id", ["method"], "pred")

@@ -408,17 +408,18 @@ def c04_wide(spark, folder):
           THEN seq[1] ELSE seq[i - 8 + len(seq)] END)), 4) AS weighted FROM s""",
 )
 def c05(spark, folder):
-    df = rolling_sequence(ev.events(spark, folder), [ev.GROUP], ev.ORDER, F.col("value"), 8)
-    # The distinct leading pad is read back from the sequence with the row number of the event.
+    step = F.struct("value", "event_id")
+    df = rolling_sequence(ev.events(spark, folder), [ev.GROUP], ev.ORDER, step, 8)
     weighted = F.aggregate(
-        F.transform("sequence", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b
+        F.transform("sequence", lambda x, i: x["value"] * (i + 1)), F.lit(0.0), lambda a, b: a + b
     )
-    counted = rolling_sequence(df, [ev.GROUP], ev.ORDER, F.col("event_id"), 8, "ids")
-    return counted.select(
+    # the leading pad repeats the first event, so distinct ids are the filled steps
+    ids = F.transform("sequence", lambda x: x["event_id"])
+    return df.select(
         "event_id",
-        F.size(F.array_distinct("ids")).cast("bigint").alias("filled"),
-        F.get("sequence", F.lit(0)).alias("oldest"),
-        F.get("sequence", F.lit(7)).alias("newest"),
+        F.size(F.array_distinct(ids)).cast("bigint").alias("filled"),
+        F.get("sequence", F.lit(0))["value"].alias("oldest"),
+        F.get("sequence", F.lit(7))["value"].alias("newest"),
         F.round(weighted, 4).alias("weighted"),
     )
 

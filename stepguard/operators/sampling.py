@@ -2,7 +2,8 @@
 
 Selections compare a hash key with a cut key instead of ranking a whole
 stratum: a histogram of the leading hash bits finds the bin that holds the
-wanted rank, and only that bin (about one in 65,536 rows) is ordered.
+wanted rank, a second one of the next bits the part of the bin, and only that part
+(about one row in four billion) is ordered.
 """
 
 from __future__ import annotations
@@ -45,21 +46,7 @@ def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame)
         .groupBy(*strata, *cuts)
         .agg(*summary)
     )
-    at_cut = reduce(lambda a, b: a | b, [F.col("__bin") == F.col(f"__bin_{c}") for c in cuts])
-    place = F.row_number().over(Window.partitionBy(*strata, "__bin").orderBy("__key"))
-    found = []
-    for c in cuts:
-        hit = (F.col("__bin") == F.col(f"__bin_{c}")) & (
-            F.col(f"__before_{c}") + F.col("__place") == F.col(c)
-        )
-        found.append(F.max(F.when(hit, F.col("__key"))).alias(f"__edge_{c}"))
-    edges = (
-        _null_safe_join(rows, reached, strata)
-        .filter(at_cut)
-        .withColumn("__place", place)
-        .groupBy(*strata)
-        .agg(*found)
-    )
+    edges = _edge_keys(rows, reached, strata, cuts)
 
     def cut(c: str) -> Column:
         return (
@@ -72,6 +59,45 @@ def cut_keys(df: DataFrame, strata: Sequence[str], key: str, wanted: DataFrame)
     return _null_safe_join(reached, edges, strata, "left").select(*strata, *[cut(c) for c in cuts])
 
 
+def _edge_keys(rows: DataFrame, reached: DataFrame, strata: list[str], cuts: list[str]) -> DataFrame:
+    """The key at each cut, as ``__edge_<name>``, from the rows of its bin.
+
+    The bin is split once more by the next digits, and only the part with the cut
+    is ordered.
+    """
+    one_each = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("__cut"),
+                F.col(f"__bin_{c}").alias("__at"),
+                (F.col(c) - F.col(f"__before_{c}")).alias("__rest"),
+            )
+            for c in cuts
+        ]
+    )
+    wanted = reached.select(*strata, F.inline(one_each)).filter("__at IS NOT NULL AND __rest > 0")
+    next_digits = F.substring("__key", BIN_DIGITS + 1, BIN_DIGITS)
+    near = (
+        _null_safe_join(rows, wanted, strata)
+        .filter(F.col("__bin") == F.col("__at"))
+        .withColumn("__part", leading_bits(next_digits, BIN_DIGITS))
+    )
+    keys = [*strata, "__cut"]
+    parts = near.groupBy(*keys, "__rest", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part"))
+    inside = F.when(F.col("__upto") >= F.col("__rest"), F.struct("__part", (F.col("__upto") - F.col("__n")).alias("b")))
+    hit = parts.withColumn("__upto", upto).groupBy(*keys).agg(F.min(inside).alias("__hit"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__key"))
+    return (
+        _null_safe_join(near, hit, keys)
+        .filter(F.col("__part") == F.col("__hit.__part"))
+        .withColumn("__place", place)
+        .filter(F.col("__hit.b") + F.col("__place") == F.col("__rest"))
+        .groupBy(*strata)
+        .agg(*[F.max(F.when(F.col("__cut") == c, F.col("__key"))).alias(f"__edge_{c}") for c in cuts])
+    )
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null; the keys of the left side stay."""
     renamed = right.withColumnsRenamed({k: f"__n_{k}" for k in keys})

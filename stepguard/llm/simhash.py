@@ -67,14 +67,18 @@ def simhash(text: str) -> int:
 
 
 def fingerprint(text: Column) -> Column:
-    """The 64 bits of the SimHash as a signed bigint."""
+    """The 64 bits of the SimHash as a signed bigint.
+
+    Marked as not deterministic only to keep the optimizer from evaluating it once
+    more in a filter; equal texts have equal values.
+    """
 
     @F.pandas_udf("bigint")
     def hashed(batch: pd.Series) -> pd.Series:
         found = [simhash(text) for _, part in text_slices(batch) for text in part]
         return pd.Series(np.array(found, dtype=np.uint64).view(np.int64))
 
-    return hashed(text)
+    return hashed.asNondeterministic()(text)
 
 
 class BKTree:

@@ -6,7 +6,9 @@ sectioning element around it. The text-to-tag ratios of the lines are smoothed
 with a Gaussian kernel, and a threshold at a part of their standard deviation
 splits them in two clusters. Sections that hold a line of the upper cluster (whose
 own ratio is above the threshold, too) are the content regions, and every line of a region belongs to the text, so short
-paragraphs between long ones stay. Elements that are never the main text (menus,
+paragraphs between long ones stay. The sections of one ``article`` element (those of
+an article in it apart) are one region; regions outside of it, and other articles, are
+judged by their own lines. Elements that are never the main text (menus,
 forms, scripts and so on, by element, role or class words) give no lines.
 
 A null page has empty text, as has a page without any text.
@@ -57,7 +59,8 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.inside_article: list[bool] = [False]
+        #: for each section the number of the article around it, or 0
+        self.article_of: list[int] = [0]
         self._open: list[tuple[str, int, bool]] = []
         self._section, self._sections = 0, 0
         self._skipped = 0
@@ -74,7 +77,7 @@ class _Lines(HTMLParser):
     def _aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in SKIPPED:
             return True
-        if tag in ("html", "body", "main", "article"):
+        if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
             if name in ("class", "id") and value and MARKED.search(value):
@@ -98,10 +101,10 @@ class _Lines(HTMLParser):
             self._open.append((tag, self._section, aside))
             self._skipped += aside
             if not aside and tag != "html":
-                within = self.inside_article[self._section] or tag in ("article", "main")
                 self._sections += 1
+                around = self._sections if tag == "article" else self.article_of[self._section]
                 self._section = self._sections
-                self.inside_article.append(within)
+                self.article_of.append(around)
         elif self._skipped and any(tag == name for name, _, _ in self._open):
             # the same name again inside a skipped element, so that its end is told apart
             self._open.append((tag, self._section, False))
@@ -164,9 +167,9 @@ def page_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
     # smoothing lifts a menu beside a long paragraph, too; its own ratio stays low
     content = (smooth >= cut) & (ratios >= cut)
     regions = {section for (_, _, section), upper in zip(lines, content, strict=True) if upper}
-    if any(parser.inside_article[s] for s in regions):
-        # sections inside one article are one region
-        regions = {s for s, inside in enumerate(parser.inside_article) if inside}
+    # sections inside one article are one region
+    chosen = {parser.article_of[s] for s in regions} - {0}
+    regions |= {s for s, article in enumerate(parser.article_of) if article in chosen}
     kept = [text for text, _, section in lines if section in regions]
     return " ".join(kept), len(kept), len(lines)
 

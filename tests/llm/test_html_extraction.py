@@ -65,3 +65,16 @@ def test_query_against_the_articles_of_the_pages(spark, folder):
         wanted = " ".join(" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
         assert row.text == " ".join(wanted.split())
         assert row.n_chars == len(row.text)
+
+
+def test_story_in_a_div_beside_comment_articles():
+    posts = "".join(f"<article class='comment'><p>{PROSE}</p></article>" for _ in range(3))
+    page = f"<body><main><div><p>{PROSE}</p><p>Ti.</p></div><section>{posts}</section></main></body>"
+    assert text(page) == f"{PROSE.strip()} Ti."
+
+
+def test_regions_outside_an_article_and_other_articles_are_judged_by_their_lines():
+    card = "<article><a href=x><b><i><u>Go</u></i></b></a></article>"
+    story = f"<article><p>{PROSE}</p><div><p>Ti.</p></div></article>"
+    page = f"<body>{card * 4}<div><p>{PROSE}</p></div>{story}{card * 4}</body>"
+    assert text(page) == f"{PROSE.strip()} {PROSE.strip()} Ti."

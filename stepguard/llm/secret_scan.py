@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and tokens that look drawn at random.
 
 Patterns find what has a telling form. For the rest, every run of 16 or more
-token characters is a candidate. Its encoding is inferred (hexadecimal, base 32,
+token characters is a candidate (``=`` only as padding at its end; a run that fits no
+encoding is cut at ``/``, ``+``, ``-`` and ``_``, and its parts of 16 or more count). Its encoding is inferred (hexadecimal, base 32,
 lower-case base 36, base 62 or base 64), and a battery is run on its characters:
 
 * chi-squared against equal use of the encoding's alphabet,
@@ -49,7 +50,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+PART = re.compile(r"[A-Za-z0-9]{16,}=*")
 LETTERS = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+", re.ASCII)
 
 # Encodings in the order in which they are tried: name, alphabet, and the sums of
@@ -77,6 +79,18 @@ def upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the runs; of a run that no alphabet holds, the parts between + / - and _."""
+    spans = []
+    for m in CANDIDATE.finditer(text):
+        used = set(m[0].rstrip("="))
+        if any(used <= set(alphabet) for _, alphabet, _, _ in ENCODINGS):
+            spans.append(m.span())
+        else:
+            spans += [part.span() for part in PART.finditer(text, *m.span())]
+    return spans
+
+
 def battery(token: str) -> tuple[float, float] | None:
     """P-values of "ordinary" and of "random", or None if no encoding fits."""
     body = token.rstrip("=")
@@ -139,11 +153,10 @@ def length_class(n: int) -> int:
 def scan(text: str) -> tuple:
     base = pattern_spans(text)
     tokens = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
+    for start, end in candidates(text):
         if any(s < end and start < e for s, e, _ in base):
             continue
-        values = battery(m[0])
+        values = battery(text[start:end])
         if values is not None:
             ordinary, random = values
             # the bin's upper end is at least the p-value

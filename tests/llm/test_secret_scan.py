@@ -70,3 +70,22 @@ def test_cuts_follow_the_step_up_rule():
     assert S.cuts(counts, 0.05) == {0: 30}
     assert S.cuts([(0, 0, 10), (1, 40, 1)], 0.05) == {1: 40}
     assert S.cuts([], 0.05) == {}
+
+
+def test_tokens_behind_names_and_in_paths():
+    random.seed(8)
+    letters = string.ascii_letters + string.digits
+    before = ["AWS_SECRET_ACCESS_KEY=", "GITHUB_PAT=", "sig=", "/my-app/", "x_y+z/"]
+    texts, wanted = {}, {}
+    for i in range(50):
+        secret = "".join(random.choice(letters) for _ in range(40))
+        name = before[i % len(before)]
+        texts[i], wanted[i] = f"see {name}{secret} here", f"random:{4 + len(name)}:{44 + len(name)}"
+    found = S.brute_force(texts)
+    assert sum(wanted[i] in found[i].split(",") for i in texts) >= 47
+
+
+def test_padding_belongs_to_a_token():
+    body = "k9Xq2LmZ7vTb4RnW8sYd3HfJ6cPgA1u"
+    assert S.candidates(f"a {body}== b") == [(2, 4 + len(body))]
+    assert S.candidates(f"{body}={body}") == [(0, len(body)), (len(body) + 1, 2 * len(body) + 1)]

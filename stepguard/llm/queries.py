@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepguard.llm import html_extraction, line_dedup, mixing, pieces, pitman_yor, quality_rules, secret_scan, sharding, simhash, winnowing
+from stepguard.llm import content_sort, eigen_whitening, hard_negatives, html_extraction, line_dedup, mixing, pieces, pitman_yor, quality_rules, secret_scan, sharding, simhash, winnowing
 from stepguard.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +76,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pitman_yor")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.score_digest(table(spark, folder, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.negative_digest(table(spark, folder, "embeddings"))
+
+
+@query("op12_content_sort", content_sort.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.copy_digest(table(spark, folder, "documents"))
+
+
+@query("op13_eigen_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return eigen_whitening.whitening_digest(table(spark, folder, "embeddings"))

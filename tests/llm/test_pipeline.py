@@ -2,8 +2,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from stepguard.llm import line_dedup, mixing, quality_rules, simhash
-from test_simhash import plain_groups
+from stepguard.llm import line_dedup, mixing, quality_rules
+from test_near_text import survivors
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,14 +34,7 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     lines = registered(good).execute(f"SELECT count(*), sum(hash(doc_id, text)) FROM ({line_dedup.ORACLE})").fetchone()
     assert lines == registered(short).execute("SELECT count(*), sum(hash(doc_id, text)) FROM documents").fetchone()
     assert short.filter("n_chars != length(text)").count() == 0
-    rows = short.collect()
-    distinct = sorted({simhash.simhash(r.text or "") for r in rows})
-    group_of = dict(zip(distinct, plain_groups(distinct), strict=True))
-    first: dict = {}
-    for r in rows:
-        g = group_of[simhash.simhash(r.text or "")]
-        first[g] = min(first.get(g, r.doc_id), r.doc_id)
-    assert sorted(r.doc_id for r in unique.collect()) == sorted(first.values())
+    assert sorted((r.doc_id for r in unique.collect()), key=str) == survivors([(r.doc_id, r.text) for r in short.collect()])
     copies = {r.id: r.copies for r in mixing.mixture(unique).collect()}
     assert mixed.count() == sum(copies.values())
     assert encoded.filter("round_trip").count() == mixed.count()
@@ -54,6 +47,15 @@ def test_empty_table(spark, no_docs, tmp_path):
     assert [f.count() for f in run_stages(spark, no_docs, tmp_path)] == [0] * 6
 
 
+def test_clashing_columns(spark, docs, clashing, tmp_path):
+    plain = run_stages(spark, docs, tmp_path / "plain")
+    extra = run_stages(spark, clashing, tmp_path / "extra")
+    for one, other in zip(plain[:-1], extra[:-1], strict=True):
+        assert other.columns == clashing.columns
+        assert sorted(map(str, other.select(*COLUMNS).collect())) == sorted(map(str, one.collect()))
+    assert extra[-1].count() == plain[-1].count()
+
+
 @pytest.mark.parametrize("name", ["pipeline"])
 def test_registered(name):
     import __spark_entry__ as registry

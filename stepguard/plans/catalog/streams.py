@@ -11,6 +11,7 @@ from stepguard.plans.catalog.registry import LAB, query
 from stepguard.session import scratch_path
 from stepguard.streaming.labels import (
     label_stream,
+    run_counts,
     run_to_table,
     running_counts,
     sequence_stream,
@@ -71,7 +72,7 @@ def h02(spark, folder):
       count(*) FILTER (WHERE r4) AS r4, count(*) FILTER (WHERE r5) AS r5 FROM lab GROUP BY state""",
 )
 def h03(spark, folder):
-    """The stream labels into a table; a second stream counts that table in complete mode."""
+    """The stream labels into a table; a second stream counts that table in update mode."""
     labelled = label_stream(
         event_stream(spark, folder), ev.GROUP, ev.ORDER, ev.CHANNELS, ev.RULES
     )
@@ -79,12 +80,4 @@ def h03(spark, folder):
     run_to_table(labelled, path, scratch_path(spark, "counted-state"))
     source = spark.readStream.schema(labelled.schema).parquet(path)
     counts = running_counts(source, ["state"], ev.RULE_NAMES)
-    out = scratch_path(spark, "counts")
-
-    def publish(batch, _):
-        batch.write.mode("overwrite").parquet(out)
-
-    counts.writeStream.outputMode("complete").option(
-        "checkpointLocation", scratch_path(spark, "counts-state")
-    ).foreachBatch(publish).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return run_counts(counts, ["state"], scratch_path(spark, "counts"), scratch_path(spark, "counts-state"))

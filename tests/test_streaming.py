@@ -5,11 +5,16 @@ from pyspark.sql import functions as F
 
 from stepguard.plans import events as ev
 from stepguard.streaming.labels import (
+    current_counts,
     label_stream,
+    publish_counts,
+    run_counts,
     run_to_table,
     running_counts,
     sequence_stream,
+    start,
     table_stream,
+    with_previous,
 )
 
 
@@ -100,26 +105,22 @@ def test_late_rows_leave_the_state_alone(spark, tmp_path):
 
 
 def test_running_counters(spark, folder, pieces, tmp_path):
+    """Each micro-batch writes changed counters; a batch that comes again counts once."""
     stream = open_stream(spark, pieces).withColumn("big", F.col("value") > 50)
+    path = str(tmp_path / "counts")
     counts = running_counts(stream, ["state"], ["big"])
-    seen = []
-
-    def keep(batch, _):
-        seen.append({r["state"]: (r["total"], r["big"]) for r in batch.collect()})
-
-    query = (
-        counts.writeStream.outputMode("complete")
-        .option("checkpointLocation", str(tmp_path / "state"))
-        .foreachBatch(keep)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    got = run_counts(counts, ["state"], path, str(tmp_path / "state"))
     rows = ev.events(spark, folder).groupBy("state").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("b")
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") > 50).alias("big")
     )
-    assert len(seen) == 4
-    assert seen[-1] == {r["state"]: (r["n"], r["b"]) for r in rows.collect()}
+    wanted = sorted(map(str, rows.collect()))
+    assert sorted(map(str, got.collect())) == wanted
+    batches = sorted(r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect())
+    assert batches == [0, 1, 2, 3]
+    for batch in (1, 3):
+        repeated = spark.createDataFrame(spark.read.parquet(f"{path}/batch={batch}").collect(), counts.schema)
+        publish_counts(repeated, batch, path)
+    assert sorted(map(str, current_counts(spark, path, ["state"]).collect())) == wanted
 
 
 def test_folder_and_file_tables_stream_alike(spark, folder, tmp_path):
@@ -162,3 +163,57 @@ def test_hot_group_over_several_triggers(spark, tmp_path):
     ).select("g", "t", "sequence")
     assert got.count() == 500 and got.filter("late").count() == 0
     assert got.select("g", "t", "sequence").exceptAll(wanted).count() == 0
+
+
+def test_hot_group_in_small_batches(spark, tmp_path):
+    """One group fills many Arrow batches of a micro-batch that is not in order: none holds more than 50 rows."""
+    frame = spark.range(3000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("g"), F.col("id").alias("t"), (F.col("id") * 7 % 31).cast("double").alias("v")
+    ).orderBy(F.hash("t"))
+    for part in range(3):
+        frame.filter(F.col("t").between(part * 1000, part * 1000 + 999)).repartition(4).write.parquet(f"{tmp_path}/in/{part}")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "50")
+    try:
+        stream = spark.readStream.schema("g string, t long, v double").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        got = run_to_table(with_previous(stream, "g", ["t"], ["v"]), f"{tmp_path}/out", f"{tmp_path}/state")
+    finally:
+        spark.conf.set(setting, before)
+    wanted = frame.select("g", "t", F.expr("lag(v) OVER (PARTITION BY g ORDER BY t)").alias("previous_v"))
+    assert got.count() == 3000 and got.filter("late").count() == 0
+    nan = F.when(~F.isnan("previous_v"), F.col("previous_v")).alias("previous_v")
+    assert got.select("g", "t", nan).exceptAll(wanted).count() == 0
+
+
+def test_state_ends(spark, tmp_path):
+    """Rows within the time to live see the row before; later ones start anew."""
+    import time
+    from datetime import timedelta
+
+    def arrive(t):
+        spark.createDataFrame([("a", t, float(t))], "g string, t long, v double").coalesce(1).write.parquet(f"{tmp_path}/in/{t}")
+
+    def wait_for(t):
+        for _ in range(240):
+            found = [r.previous_v for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").filter(F.col("t") == t).collect()]
+            if found:
+                return found
+            time.sleep(0.25)
+        raise AssertionError(query.exception())
+
+    arrive(1)
+    (tmp_path / "out").mkdir()
+    stream = spark.readStream.schema("g string, t long, v double").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = with_previous(stream, "g", ["t"], ["v"], keep_for=timedelta(seconds=30))
+    writer = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    query = start(spark, writer.trigger(processingTime="500 milliseconds"))
+    try:
+        assert wait_for(1) == [None]
+        arrive(2)
+        assert wait_for(2) == [1.0]
+        time.sleep(32)
+        arrive(3)
+        assert wait_for(3) == [None]
+    finally:
+        query.stop()

@@ -39,7 +39,7 @@ def a02(spark, folder):
       sum(ts_us % 1000)::BIGINT AS micros FROM ev GROUP BY state""",
 )
 def a01(spark, folder):
-    """Events as JSON arrays, one per file and about a thousand records each, read back."""
+    """Events as JSON arrays, one per file and about a thousand records each, read back by ranges."""
     path = scratch_path(spark, "events-arrays")
     rows = ev.events(spark, folder)
     files = F.pmod(F.xxhash64("event_id"), F.lit(-(-rows.count() // 1000) or 1))
@@ -47,7 +47,7 @@ def a01(spark, folder):
         F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
     )
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return read_json_array(spark, path, EVENT_SCHEMA).groupBy("state").agg(
+    return read_json_array(spark, path, EVENT_SCHEMA, range_bytes=1 << 15).groupBy("state").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("value"), 4).alias("value_sum"),
         F.sum(F.col("ts_us") % 1000).alias("micros"),

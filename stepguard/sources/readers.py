@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stepguard.functions.numbers import group_key
+from stepguard.sources.json_ranges import RANGE_BYTES, read_ranges
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_json_array(
+    spark: SparkSession, path: str, schema: StructType | str, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """Records stored as one JSON array per file.
 
-    Such a file cannot be split, so one task reads it; land it once with
-    :func:`stepguard.sources.writers.land` before working on it.
+    Where a file is larger than ``range_bytes``, all are read by ranges of that size,
+    so several tasks share a file; smaller files are read whole, one task each.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    files = spark.read.format("binaryFile").load(path).select("length")
+    if files.filter(F.col("length") > range_bytes).isEmpty():
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return read_ranges(spark, path, schema, range_bytes)
 
 
 def read_jsonl(

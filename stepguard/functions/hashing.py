@@ -24,20 +24,18 @@ def seeded_integer(seed: int | str, identity: Column) -> Column:
     return leading_bits(seeded_key(seed, identity), 8) % MODULUS
 
 
-def mixed_uniform(base: Column, trial: Column) -> Column:
-    """A uniform number in [0, 1) for each (base, trial), by squaring modulo a prime.
+def mixed_integer(base: Column, trial: Column) -> Column:
+    """A whole number in [0, MODULUS) for each (base, trial), by squaring modulo a prime.
 
     Every product stays below 2**62, so no engine overflows.
     """
     first = (base + trial * 40692) % MODULUS
     second = (first * first + 12345) % MODULUS
-    third = (second * second + base) % MODULUS
-    return third.cast("double") / F.lit(float(MODULUS))
+    return (second * second + base) % MODULUS
 
 
-def mixed_uniform_array(base: int, trial: np.ndarray) -> np.ndarray:
-    """The same numbers as :func:`mixed_uniform`, for one base and many trials."""
+def mixed_integers(base: int, trial: np.ndarray) -> np.ndarray:
+    """The same numbers as :func:`mixed_integer`, for one base and many trials."""
     first = (base + trial * 40692) % MODULUS
     second = (first * first + 12345) % MODULUS
-    third = (second * second + base) % MODULUS
-    return third / float(MODULUS)
+    return (second * second + base) % MODULUS

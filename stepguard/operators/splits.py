@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepguard.functions.hashing import mixed_uniform, mixed_uniform_array, seeded_integer
+from stepguard.functions.hashing import MODULUS, mixed_integer, mixed_integers, seeded_integer
 from stepguard.functions.numbers import rate
 from stepguard.operators.ordered import SEGMENT_ROWS, running_totals
 from stepguard.session import broadcast_if_small
@@ -17,6 +17,8 @@ from stepguard.session import broadcast_if_small
 SPLITS = ["train", "val", "test"]
 # Fixed value: the seed of the published split.
 SEARCH_SEED = 20260725
+#: Blocks of groups in which a trial draws one place each; the factor sets their draws apart.
+TRIAL_BLOCKS, BLOCK_FACTOR = 1024, 2_097_143
 
 
 def split_by_share(key: Column, shares: dict[str, float]) -> Column:
@@ -68,6 +70,30 @@ def chronological_split(
     return ordered.withColumn("split", split)
 
 
+def chosen_in(base: Column, trial: Column, probability: float) -> Column:
+    """Whether a trial selects the group with this base.
+
+    Groups lie on a circle of numbers, in ``TRIAL_BLOCKS`` blocks. For each block a trial
+    draws a place; the block's groups from there on, over the share ``probability`` of the
+    circle, are selected. So each group is selected with that probability, and a trial's
+    sums over a block are differences of running sums.
+    """
+    place = mixed_integer((base % TRIAL_BLOCKS) * BLOCK_FACTOR + 1, trial)
+    return F.pmod(base - place, F.lit(MODULUS)) < int(probability * MODULUS)
+
+
+def _block_sums(rows: np.ndarray, trial: np.ndarray, width: int) -> np.ndarray:
+    """Groups, totals and positives that each trial selects in one block; rows are (base, total, anomaly)."""
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    running = np.zeros((3, rows.shape[1] + 1), dtype=np.int64)
+    running[0, 1:] = np.arange(1, rows.shape[1] + 1)
+    running[1:, 1:] = np.cumsum(rows[1:], axis=1)
+    first = mixed_integers(int(rows[0, 0]) % TRIAL_BLOCKS * BLOCK_FACTOR + 1, trial)
+    start, end = np.searchsorted(rows[0], first), np.searchsorted(rows[0], first + width)
+    around = np.searchsorted(rows[0], first + width - MODULUS)  # past the end of the circle
+    return running[:, end] - running[:, start] + running[:, around]
+
+
 def trial_scores(
     groups: DataFrame,
     trials: int,
@@ -77,25 +103,37 @@ def trial_scores(
 ) -> DataFrame:
     """Score of each random group selection; lower is better.
 
-    ``groups`` has (base, total, anomaly). Selections come from a hash of group
-    and trial, so no trial has to be stored. A task adds its groups up in three
-    vectors of ``trials`` numbers and passes these on, so no row of groups times
-    trials exists and at most ``trials`` rows leave each task.
+    ``groups`` has (base, total, anomaly). Which groups a trial selects follows from
+    :func:`chosen_in`, so no trial is stored. A task orders the groups of a block once and
+    reads every trial's sums from running sums: the work is blocks times trials, not groups
+    times trials, and at most ``trials`` rows leave each task.
     """
+    width = int(probability * MODULUS)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((3, trials), dtype=np.int64)
-        trial = np.arange(trials, dtype=np.int64)
+        sums, trial = np.zeros((3, trials), dtype=np.int64), np.arange(trials, dtype=np.int64)
+        block, held = None, []
         for batch in batches:
-            columns = [batch[c].to_numpy(np.int64) for c in ("base", "total", "anomaly")]
-            for base, total, anomaly in zip(*columns, strict=True):
-                chosen = mixed_uniform_array(base, trial) < probability
-                sums[:, chosen] += np.array([[1], [total], [anomaly]])
-        held = np.flatnonzero(sums[0])
-        yield pd.DataFrame(dict(zip(("groups", "total", "anomaly"), sums[:, held]), trial=held.astype(np.int32)))
-
-    partial = groups.select("base", "total", "anomaly").mapInPandas(
-        summed, "groups bigint, total bigint, anomaly bigint, trial int"
+            rows = batch[["base", "total", "anomaly"]].to_numpy(np.int64).T
+            ends = np.flatnonzero(np.diff(rows[0] % TRIAL_BLOCKS)) + 1
+            for part in np.split(rows, ends, axis=1):
+                if part.shape[1] and part[0, 0] % TRIAL_BLOCKS != block:
+                    if held:
+                        sums += _block_sums(np.concatenate(held, axis=1), trial, width)
+                    block, held = part[0, 0] % TRIAL_BLOCKS, []
+                held.append(part)
+        if held:
+            sums += _block_sums(np.concatenate(held, axis=1), trial, width)
+        found = np.flatnonzero(sums[0])
+        yield pd.DataFrame(dict(zip(("groups", "total", "anomaly"), sums[:, found]), trial=found.astype(np.int32)))
+
+    # a given number of tasks: few rows are much work here, so Spark must not put them together
+    tasks = min(TRIAL_BLOCKS, groups.sparkSession.sparkContext.defaultParallelism)
+    partial = (
+        groups.select("base", "total", "anomaly")
+        .repartition(tasks, F.col("base") % TRIAL_BLOCKS)
+        .sortWithinPartitions(F.col("base") % TRIAL_BLOCKS)
+        .mapInPandas(summed, "groups bigint, total bigint, anomaly bigint, trial int")
     )
     added = partial.groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("groups", "total", "anomaly")])
     wanted = target_total * target_rate
@@ -142,7 +180,7 @@ def stratified_group_split(
         based = pool.withColumn("base", seeded_integer(f"{seed}-{name}", F.col(group)))
         scores = trial_scores(based, trials, probability, target_total, target_rate)
         trial = best_trial(scores).scalar().cast("bigint")
-        return based, mixed_uniform(F.col("base"), trial) < probability
+        return based, chosen_in(F.col("base"), trial, probability)
 
     based, in_test = search(profiles, "test", share)
     marked = based.withColumn("__test", in_test).drop("base")

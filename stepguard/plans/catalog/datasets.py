@@ -404,32 +404,35 @@ def f06(spark, folder):
 _P = 2147483647
 
 
-def _mixed(base: str, trial: str) -> str:
-    first = f"(({base} + {trial} * 40692) % {_P})"
+def _chosen(share: float) -> str:
+    """A trial selects the groups on a part of the circle, from a drawn place of each of 1,024 blocks on."""
+    block = "(base % 1024 * 2097143 + 1)"
+    first = f"(({block} + trial * 40692) % {_P})"
     second = f"(({first} * {first} + 12345) % {_P})"
-    return f"(({second} * {second} + {base}) % {_P})::DOUBLE / {_P}.0"
+    place = f"(({second} * {second} + {block}) % {_P})"
+    return f"((base - {place}) % {_P} + {_P}) % {_P} < {int(share * _P)}"
 
 
-def _search(pool: str, name: str, share: str) -> str:
+def _search(pool: str, name: str, share: float) -> str:
     return f"""
       {name}_b AS (SELECT *, ('0x' || substr(sha256('20260725-{name}:' || user_id), 1, 8))::BIGINT % {_P}
         AS base FROM {pool}),
       {name}_s AS (SELECT trial, count(*) AS groups, sum(total) AS t, sum(anomaly) AS a
-        FROM {name}_b, range({TRIALS}) r(trial) WHERE {_mixed('base', 'trial')} < {share}
+        FROM {name}_b, range({TRIALS}) r(trial) WHERE {_chosen(share)}
         GROUP BY trial HAVING count(*) >= 2),
       {name}_best AS (SELECT trial FROM {name}_s, target
         ORDER BY 2.0 * abs(t - tt) / tt + 4.0 * abs(a / t - tr) / tr + abs(a - tt * tr) / (tt * tr),
           trial LIMIT 1),
-      {name}_in AS (SELECT user_id, {_mixed('base', 'trial')} < {share} AS chosen
+      {name}_in AS (SELECT user_id, {_chosen(share)} AS chosen
         FROM {name}_b, {name}_best)"""
 
 
 _STRATIFIED = LAB + """, g AS (SELECT user_id, count(*) AS total,
         count(*) FILTER (WHERE is_anomaly) AS anomaly FROM lab GROUP BY user_id),
       target AS (SELECT sum(total) * 0.15::DOUBLE AS tt, sum(anomaly) / sum(total) AS tr FROM g),
-""" + _search("g", "test", "0.15::DOUBLE") + """,
+""" + _search("g", "test", 0.15) + """,
       rest AS (SELECT g.* FROM g JOIN test_in USING (user_id) WHERE NOT chosen),
-""" + _search("rest", "val", "(0.15::DOUBLE / 0.85::DOUBLE)") + """
+""" + _search("rest", "val", 0.15 / (1 - 0.15)) + """
       SELECT g.user_id, g.total, CASE WHEN test_in.chosen THEN 'test' WHEN val_in.chosen THEN 'val'
         ELSE 'train' END AS split
       FROM g JOIN test_in USING (user_id) LEFT JOIN val_in USING (user_id)"""
@@ -492,7 +495,7 @@ def g02(spark, folder):
     LAB + """, g AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomaly
         FROM lab GROUP BY user_id),
       target AS (SELECT sum(total) * 0.15::DOUBLE AS tt, sum(anomaly) / sum(total) AS tr FROM g),
-""" + _search("g", "test", "0.15::DOUBLE") + """
+""" + _search("g", "test", 0.15) + """
       SELECT trial, groups, t::BIGINT AS total, a::BIGINT AS anomaly FROM test_s
       WHERE trial = (SELECT trial FROM test_best)""",
 )

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepguard.functions.hashing import mixed_uniform, mixed_uniform_array
+from stepguard.operators import align as al
+from stepguard.sources.readers import read_jsonl
+from stepguard.functions.hashing import mixed_integer, mixed_integers
 from stepguard.operators import evaluate as ea
 from stepguard.operators import sampling as sa
 from stepguard.operators import splits as sp
@@ -79,22 +81,55 @@ def test_search_without_a_valid_trial_stops(spark):
 
 
 def test_trials_in_vectors_agree_with_rows(spark):
-    groups = spark.range(30).select(
-        (F.col("id") * 70_001_123 % 2_147_483_647).alias("base"), (F.col("id") + 5).alias("total"),
-        (F.col("id") % 4).alias("anomaly"),
-    ).repartition(4)
-    got = sp.trial_scores(groups, 200, 0.2, F.lit(100.0), F.lit(0.1)).drop("score").collect()
-    rows = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("trial"))
-    wanted = rows.filter(mixed_uniform(F.col("base"), F.col("trial").cast("bigint")) < 0.2).groupBy("trial").agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("total").alias("total"), F.sum("anomaly").alias("anomaly")
-    ).filter("groups >= 2").collect()
-    order = ["trial", "groups", "total", "anomaly"]
-    assert sorted(tuple(r[c] for c in order) for r in got) == sorted(tuple(r[c] for c in order) for r in wanted)
-    assert mixed_uniform_array(5, np.arange(3)).tolist() == [
-        spark.range(1).select(mixed_uniform(F.lit(5).cast("bigint"), F.lit(t).cast("bigint"))).first()[0] for t in range(3)
+    for count, trials in ((30, 200), (5000, 20)):
+        groups = spark.range(count).select(
+            (F.col("id") * 70_001_123 % 2_147_483_647).alias("base"), (F.col("id") + 5).alias("total"),
+            (F.col("id") % 4).alias("anomaly"),
+        ).repartition(4)
+        got = sp.trial_scores(groups, trials, 0.2, F.lit(100.0), F.lit(0.1)).drop("score").collect()
+        rows = groups.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial"))
+        wanted = rows.filter(sp.chosen_in(F.col("base"), F.col("trial"), 0.2)).groupBy("trial").agg(
+            F.count(F.lit(1)).alias("groups"), F.sum("total").alias("total"), F.sum("anomaly").alias("anomaly")
+        ).filter("groups >= 2").collect()
+        order = ["trial", "groups", "total", "anomaly"]
+        assert sorted(tuple(r[c] for c in order) for r in got) == sorted(tuple(r[c] for c in order) for r in wanted)
+        assert abs(sum(r["groups"] for r in got) / trials / count - 0.2) < 0.02
+    assert mixed_integers(5, np.arange(3)).tolist() == [
+        spark.range(1).select(mixed_integer(F.lit(5).cast("bigint"), F.lit(t).cast("bigint"))).first()[0] for t in range(3)
     ]
 
 
+def test_equal_sequences_need_no_join(spark):
+    """Tables with the same keys in the same order agree by their digests; else the positions are joined."""
+    rows = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 2003).alias("o"))
+    keys, order = ["k"], ["o", "k"]
+    same = al.order_check(rows.repartition(5), rows.repartition(3), keys, order)
+    assert "Join" not in plan_of(same)
+    assert same.first().asDict() == {"left_rows": 2000, "right_rows": 2000, "mismatched_positions": 0}
+    swapped = rows.withColumn("k", F.expr("CASE WHEN k = 5 THEN 9 WHEN k = 9 THEN 5 ELSE k END"))
+    found = al.order_check(rows, swapped, keys, ["o"])
+    assert found.first().asDict() == {"left_rows": 2000, "right_rows": 2000, "mismatched_positions": 2}
+    shorter = al.order_check(rows, rows.filter("o < 1990"), keys, order)
+    assert shorter.first()["mismatched_positions"] == shorter.first()["left_rows"] - shorter.first()["right_rows"] > 0
+    empty = rows.filter("k < 0")
+    assert al.order_check(empty, empty, keys, order).first().asDict() == {"left_rows": 0, "right_rows": 0, "mismatched_positions": 0}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_first_lines_read_only_the_files_they_need(spark, tmp_path):
+    for part in range(6):
+        spark.range(part * 100, part * 100 + 100).coalesce(1).write.json(f"{tmp_path}/in/{part}")
+    path = f"{tmp_path}/in/*"
+    for limit, files in ((1, 1), (150, 2), (250, 3), (10_000, 6)):
+        frame = read_jsonl(spark, path, "id bigint", limit)
+        assert [r.id for r in frame.collect()] == list(range(min(limit, 600)))
+        assert len(frame.inputFiles()) == files
+    assert read_jsonl(spark, path, "id bigint", 0).count() == 0
+
+
 def test_few_rows_scale_scores_by_what_trees_hold(spark):
     """The mean row of a tree over all rows scores about a half, at any number of rows."""
     df = spark.range(40).select("id", F.array(F.rand(2), F.rand(3)).alias("x")).cache()

@@ -62,14 +62,28 @@ def _uniform(*columns: str, salt: str) -> Column:
 def tree_samples(
     df: DataFrame, record_id: str, features: str, trees: int, sample_rows: int, seed: int
 ) -> DataFrame:
-    """At most ``sample_rows`` random rows for every tree.
+    """``sample_rows`` random rows for every tree, or all rows where the table has no more.
 
     One rule for tables of any size: a row goes to ``rate`` trees on average, one
     and a half times what the trees need, but to none of them twice. Rows are
-    thinned by a hash before they are shuffled, so the shuffle holds that many
-    rows, whatever the size of the table.
+    thinned by a hash before they are shuffled, and each task passes on the rows of
+    the smallest ranks of a tree only, which merge as bottom-k sketches do. If a tree
+    came out short, the rate is doubled; at the highest one every tree is offered
+    all rows.
     """
-    rate = min(float(trees), 1.5 * trees * sample_rows / max(df.count(), 1))
+    total = df.count()
+    rate = min(float(trees), 1.5 * trees * sample_rows / max(total, 1))
+    while True:
+        drawn = checkpointed(_tree_ranks(df, record_id, features, trees, sample_rows, seed, rate))
+        full = drawn.groupBy("tree").count().filter(F.col("count") >= min(sample_rows, total)).count()
+        if full == trees or rate >= trees:
+            return drawn
+        rate = min(float(trees), 2 * rate)
+
+
+def _tree_ranks(
+    df: DataFrame, record_id: str, features: str, trees: int, sample_rows: int, seed: int, rate: float
+) -> DataFrame:
     more = _uniform(record_id, salt=f"{seed}-keep") < rate - int(rate)
     copies = F.lit(int(rate)) + more.cast("int")
     drawn = df.select(record_id, features, copies.alias("copies")).filter("copies > 0").select(

@@ -12,7 +12,7 @@ from stepguard.plans.catalog.registry import LAB, query
 from stepguard.session import checkpointed, scratch_path
 from stepguard.sources.manifest import fingerprints
 from stepguard.sources.readers import read_csv, read_json_array, read_jsonl
-from stepguard.sources.writers import land, stack, write_csv, write_flagged, write_jsonl
+from stepguard.sources.writers import land, publish_jsonl, stack, write_csv, write_flagged, write_jsonl
 
 EVENT_SCHEMA = "event_id bigint, ts_us bigint, user_id bigint, state string, value double, k double"
 
@@ -33,6 +33,20 @@ def a02(spark, folder):
     )
 
 
+@query(
+    "a05_published_files",
+    """WITH l AS (SELECT event_id, event_id // 2000 AS part,
+        '{"event_id":' || event_id || ',"state":"' || event_type || '"}' || chr(10) AS line FROM events)
+      SELECT part::VARCHAR AS part, count(*) AS rows, sum(octet_length(line::BLOB))::BIGINT AS bytes,
+        sha256(string_agg(line, '' ORDER BY event_id)) AS sha256 FROM l GROUP BY ALL""",
+)
+def a05(spark, folder):
+    """Events as JSON Lines in files of 2,000 ids, with rows, bytes and SHA-256 of each."""
+    rows = ev.events(spark, folder).select("event_id", "state")
+    part = F.floor(F.col("event_id") / 2000)
+    return publish_jsonl(rows, scratch_path(spark, "published-jsonl"), part, ["event_id"])
+
+
 @query(
     "a01_json_array",
     LAB + """SELECT state, count(*) AS n, round(sum(value), 4) AS value_sum,

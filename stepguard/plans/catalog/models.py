@@ -158,3 +158,26 @@ def i05(spark, folder):
         "method", "dataset", F.col("n").alias("samples"), "positives",
         agree.alias("counts_agree"), separates.alias("separates"),
     )
+
+
+@query("i03_isolation_predictions")
+def i03_predictions(spark, folder):
+    """Score, threshold and verdict of the isolation forest for every row of every data set."""
+    predictions, _ = isolation_forest_baseline(_inputs(spark, folder), len(FEATURES))
+    return predictions.select("dataset", "record_id", "gold", "score", "threshold", "pred")
+
+
+@query("i04_feature_importances")
+def i04_importances(spark, folder):
+    """The importance of each feature in the random forest."""
+    _, _, importance = random_forest_baseline(_inputs(spark, folder), FEATURES)
+    return importance.select("feature", "importance")
+
+
+@query("i05_baseline_metrics")
+def i05_metrics(spark, folder):
+    """Confusion, rates, AUROC and average precision of both forests on every data set."""
+    rows = _inputs(spark, folder)
+    _, isolation = isolation_forest_baseline(rows, len(FEATURES))
+    _, forest, _ = random_forest_baseline(rows, FEATURES)
+    return isolation.unionByName(forest)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepguard.sources.manifest import fingerprints
+
 REFUSE = "errorifexists"
 
 
@@ -20,6 +23,23 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.text(path).count()
 
 
+def publish_jsonl(df: DataFrame, path: str, part: Column, order: Sequence[str]) -> DataFrame:
+    """Write JSON Lines in one ordered file per part, and tell what was published.
+
+    The result has ``part``, ``rows``, ``bytes`` and ``sha256``, read from the files that
+    are there afterwards. A part is one file, so choose parts that one task can write.
+    """
+    placed = df.withColumn("part", part)
+    placed.repartition("part").sortWithinPartitions("part", *order).write.mode(REFUSE).partitionBy("part").json(path)
+    spark = df.sparkSession
+    number = F.regexp_extract("name", "part=([^/]*)/", 1).alias("part")
+    files = fingerprints(spark, f"{path}/part=*/*.json").select("name", number, "bytes", "sha256")
+    lines = spark.read.text(f"{path}/part=*/*.json").groupBy(
+        F.regexp_extract("_metadata.file_path", "part=([^/]*)/", 1).alias("part")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    return files.join(lines, "part").select("part", "rows", "bytes", "sha256")
+
+
 def stack(frames: list[DataFrame]) -> DataFrame:
     """Tables with different columns in one; the header is their union, first seen first."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -152,3 +152,46 @@ def test_first_lines_are_the_first_in_file_order(spark, tmp_path):
     path = f"{tmp_path}/lines"
     spark.range(1000).repartitionByRange(6, "id").sortWithinPartitions("id").write.json(path)
     assert [r["id"] for r in read_jsonl(spark, path, "id bigint", limit=400).collect()] == list(range(400))
+
+
+def test_every_tree_has_its_rows(spark):
+    """Exactly the sample size, also where a first draw comes out short; all rows of small tables."""
+    from stepguard.operators.forests import tree_samples
+
+    for total, wanted in ((5000, 64), (70, 64), (40, 40), (1, 1)):
+        df = spark.range(total).select("id", F.array(F.col("id").cast("double")).alias("x"))
+        counts = tree_samples(df, "id", "x", 50, 64, 3).groupBy("tree").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("d")
+        ).collect()
+        assert sorted(r["tree"] for r in counts) == list(range(50))
+        assert {(r["n"], r["d"]) for r in counts} == {(wanted, wanted)}
+
+
+def test_forests_return_their_results(spark, folder):
+    """Scores, importances and metrics are there, and rank better than chance."""
+    from stepguard.plans.catalog import QUERIES
+
+    metrics = QUERIES["i05_baseline_metrics"](spark, folder).collect()
+    assert {(r["method"], r["dataset"]) for r in metrics} >= {(m, "test_natural") for m in ("isolation_forest", "random_forest")}
+    assert min(r["auroc"] for r in metrics if r["method"] == "random_forest" and r["dataset"].startswith("test")) > 0.9
+    assert min(r["auroc"] for r in metrics if r["method"] == "isolation_forest" and r["dataset"].startswith("test")) > 0.5
+    importances = {r["feature"]: r["importance"] for r in QUERIES["i04_feature_importances"](spark, folder).collect()}
+    assert abs(sum(importances.values()) - 1) < 1e-9
+    # what the most frequent rule reads stands in front
+    assert {"state_purchase", "f_value_diff"} <= set(sorted(importances, key=importances.get)[-3:])
+    rows = QUERIES["i03_isolation_predictions"](spark, folder)
+    assert rows.filter("score <= 0 OR score > 1 OR pred != (score >= threshold)").count() == 0
+
+
+def test_published_files(spark, tmp_path):
+    import hashlib
+
+    from stepguard.sources.writers import publish_jsonl
+
+    df = spark.range(50).select("id", F.lit("ü").alias("t"))
+    got = {r["part"]: (r["rows"], r["bytes"], r["sha256"]) for r in publish_jsonl(df, f"{tmp_path}/out", F.floor(F.col("id") / 20), ["id"]).collect()}
+    for part in range(3):
+        text = "".join(f'{{"id":{i},"t":"ü"}}\n' for i in range(part * 20, min(50, part * 20 + 20))).encode()
+        assert got[str(part)] == (text.count(b"\n"), len(text), hashlib.sha256(text).hexdigest())
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        publish_jsonl(df, f"{tmp_path}/out", F.lit(1), ["id"])

@@ -5,11 +5,13 @@ The standard library's parser streams events. Each event that ends a block ends
 sectioning element around it. The text-to-tag ratios of the lines are smoothed
 with a Gaussian kernel, and a threshold at a part of their standard deviation
 splits them in two clusters. Sections that hold a line of the upper cluster (whose
-own ratio is above the threshold, too) are the content regions, and every line of a region belongs to the text, so short
-paragraphs between long ones stay. The sections of one ``article`` element (those of
-an article in it apart) are one region; regions outside of it, and other articles, are
-judged by their own lines. Elements that are never the main text (menus,
-forms, scripts and so on, by element, role or class words) give no lines.
+own ratio is above the threshold, too) are the content regions, and every line of a
+region belongs to the text, so short paragraphs between long ones stay. The sections
+of one ``article`` element (those of an article in it apart) are one region; regions
+outside of it, and other articles, are judged by their own lines. Elements that are
+never the main text (menus, forms, scripts and so on, by element, role or class words)
+give no lines. End tags that HTML lets pages leave out are implied, so what follows an
+unclosed advert isn't lost with it.
 
 A null page has empty text, as has a page without any text.
 """
@@ -33,6 +35,26 @@ SKIPPED = set(
     "nav header footer aside form button select textarea datalist dialog menu".split()
 )
 SECTIONS = set("html body main article section div table td th".split())
+#: Elements that a start tag ends where their end tag was left out, and what hides them from it.
+CELL_STOPS, ITEM_STOPS = {"table"}, None
+IMPLIED = {
+    "li": ({"li"}, ITEM_STOPS),
+    "dt": ({"dt", "dd"}, ITEM_STOPS),
+    "dd": ({"dt", "dd"}, ITEM_STOPS),
+    "td": ({"td", "th"}, CELL_STOPS | {"tr"}),
+    "th": ({"td", "th"}, CELL_STOPS | {"tr"}),
+    "tr": ({"tr"}, CELL_STOPS),
+    "tbody": ({"thead", "tbody", "tfoot"}, CELL_STOPS),
+    "tfoot": ({"thead", "tbody", "tfoot"}, CELL_STOPS),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+ENDS_P = set(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr main menu nav ol p pre section table ul".split()
+)
+P_STOPS = set("html table td th caption button object template".split())
+#: Elements whose end tag ends what is open in them.
+HOLDERS = set("ul ol dl tr thead tbody tfoot".split())
 BLOCKS = set(
     "address article blockquote body caption center dd details dd div dl dt fieldset figcaption "
     "figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td "
@@ -92,6 +114,10 @@ class _Lines(HTMLParser):
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
         self._tags += 1
+        if tag in ENDS_P:
+            self._end_implied({"p"}, P_STOPS)
+        if tag in IMPLIED:
+            self._end_implied(*IMPLIED[tag])
         if tag in VOID:
             return
         aside = self._aside(tag, attrs)
@@ -105,6 +131,8 @@ class _Lines(HTMLParser):
                 around = self._sections if tag == "article" else self.article_of[self._section]
                 self._section = self._sections
                 self.article_of.append(around)
+        elif tag in HOLDERS:
+            self._open.append((tag, self._section, False))
         elif self._skipped and any(tag == name for name, _, _ in self._open):
             # the same name again inside a skipped element, so that its end is told apart
             self._open.append((tag, self._section, False))
@@ -124,11 +152,27 @@ class _Lines(HTMLParser):
         last = len(names) - 1 - names[::-1].index(tag)
         if any(name in ("article", "main") for name in names[last + 1 :]) and tag == "div":
             return  # a stray end tag doesn't close the article around it
+        self._close_down_to(last)
+
+    def _close_down_to(self, place: int) -> None:
         self.end_line()
-        while len(self._open) > last:
+        while len(self._open) > place:
             _, self._section, aside = self._open.pop()
             self._skipped -= aside
 
+    def _end_implied(self, names: set[str], stops: set[str] | None) -> None:
+        """End the innermost of these elements, unless one that hides it is open in it.
+
+        Without stops all hide it but those that an item may leave open.
+        """
+        for place in range(len(self._open) - 1, -1, -1):
+            name = self._open[place][0]
+            if name in names:
+                self._close_down_to(place)
+                return
+            if name in stops if stops is not None else name not in ("div", "p", "address"):
+                return
+
     def handle_data(self, data: str) -> None:
         if not self._skipped:
             self._text.append(data)

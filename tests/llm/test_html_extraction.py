@@ -1,6 +1,7 @@
 import html
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stepguard.llm.html_extraction import main_text, page_text, smoothed
@@ -78,3 +79,25 @@ def test_regions_outside_an_article_and_other_articles_are_judged_by_their_lines
     story = f"<article><p>{PROSE}</p><div><p>Ti.</p></div></article>"
     page = f"<body>{card * 4}<div><p>{PROSE}</p></div>{story}{card * 4}</body>"
     assert text(page) == f"{PROSE.strip()} {PROSE.strip()} Ti."
+
+
+LONG = "A story of many words that is told here at some length, so that its ratio is high, with no tags in between. " * 2
+
+
+@pytest.mark.parametrize(
+    "page,lost",
+    [
+        ("<article><p class=ad>Buy<p>{}</article>", "Buy"),
+        ("<article><ul><li class=ad>Buy<li>{}</ul></article>", "Buy"),
+        ("<article><ul><li class=ad>Buy</ul><p>{}</article>", "Buy"),
+        ("<article><ul><li class=ad>Buy<ul><li>more</ul><li>{}</ul></article>", "more"),
+        ("<article><dl><dt class=ad>Buy<dd>{}</dl></article>", "Buy"),
+        ("<article><table><tr><td class=ad>Buy<td>{}</table></article>", "Buy"),
+        ("<article><table><tr class=ad><td>Buy<tr><td>{}</table></article>", "Buy"),
+        ("<article><div><p class=ad>Buy</div><p>{}</article>", "Buy"),
+        ("<article><form><select><option>Buy<option>x</select></form><p>{}</article>", "Buy"),
+    ],
+)
+def test_end_tags_left_out(page, lost):
+    text, _, _ = page_text("<html><body>" + page.format(LONG) + "</body></html>")
+    assert LONG.strip() in text and lost not in text

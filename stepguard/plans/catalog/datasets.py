@@ -104,15 +104,14 @@ def c09(spark, folder):
       FROM lab JOIN sp USING (user_id) GROUP BY design""",
 )
 def a04(spark, folder):
-    """The chronological split as a design document, read again and joined to the records."""
+    """The chronological split as design documents, a line per group, read again and joined to the records."""
     df = checkpointed(ev.labelled_events(spark, folder))
     profiles = checkpointed(pf.group_profile(df, "user_id", "event_id", "ts_us", "is_anomaly"))
     split = sp.chronological_split(profiles, "first_record_id", "total")
-    lists = split.groupBy("split").agg(F.collect_list(F.col("user_id").cast("string")).alias("users"))
-    whole = F.map_from_entries(F.collect_list(F.struct("split", "users"))).alias("split_cycles")
+    line = F.create_map("split", F.array(F.col("user_id").cast("string"))).alias("split_cycles")
     path = scratch_path(spark, "design")
-    lists.agg(whole).write.json(path)
-    design = read_split_design(spark, path).withColumnRenamed("split", "design")
+    split.select(line).write.json(path)
+    design = read_split_design(spark, path, lines=True).withColumnRenamed("split", "design")
     joined = df.join(design, group_key(F.col("user_id")) == F.col("group"))
     return joined.groupBy("design").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomaly")

@@ -72,14 +72,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(path)
 
 
-def read_split_design(spark: SparkSession, path: str) -> DataFrame:
-    """(group, split) rows from a design document with a ``split_cycles`` map.
+def read_split_design(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(group, split) rows from design documents with a ``split_cycles`` map.
 
+    A file is one document, or with ``lines`` each line is one that holds a part of the map.
     A group listed twice stops the job. Keys are compared as text.
     """
     design = (
         spark.read.schema("split_cycles map<string, array<string>>")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .json(path)
     )
     listed = design.select(F.explode("split_cycles").alias("split", "groups")).select(

@@ -19,6 +19,8 @@ SPLITS = ["train", "val", "test"]
 SEARCH_SEED = 20260725
 #: Blocks of groups in which a trial draws one place each; the factor sets their draws apart.
 TRIAL_BLOCKS, BLOCK_FACTOR = 1024, 2_097_143
+#: Groups of a block that are compared one by one.
+FEW = 6
 
 
 def split_by_share(key: Column, shares: dict[str, float]) -> Column:
@@ -84,11 +86,18 @@ def chosen_in(base: Column, trial: Column, probability: float) -> Column:
 
 def _block_sums(rows: np.ndarray, trial: np.ndarray, width: int) -> np.ndarray:
     """Groups, totals and positives that each trial selects in one block; rows are (base, total, anomaly)."""
+    first = mixed_integers(int(rows[0, 0]) % TRIAL_BLOCKS * BLOCK_FACTOR + 1, trial)
+    if rows.shape[1] <= FEW:  # one comparison a group is less work than three searches
+        sums = np.zeros((3, len(trial)), dtype=np.int64)
+        for base, total, anomaly in rows.T:
+            beyond = base - first
+            chosen = np.where(beyond < 0, beyond + MODULUS, beyond) < width
+            sums += np.array([[1], [total], [anomaly]]) * chosen
+        return sums
     rows = rows[:, np.argsort(rows[0], kind="stable")]
     running = np.zeros((3, rows.shape[1] + 1), dtype=np.int64)
     running[0, 1:] = np.arange(1, rows.shape[1] + 1)
     running[1:, 1:] = np.cumsum(rows[1:], axis=1)
-    first = mixed_integers(int(rows[0, 0]) % TRIAL_BLOCKS * BLOCK_FACTOR + 1, trial)
     start, end = np.searchsorted(rows[0], first), np.searchsorted(rows[0], first + width)
     around = np.searchsorted(rows[0], first + width - MODULUS)  # past the end of the circle
     return running[:, end] - running[:, start] + running[:, around]

@@ -1,9 +1,12 @@
 """Secrets in texts: fixed patterns, and tokens that look drawn at random.
 
-Patterns find what has a telling form. For the rest, every run of 16 or more
-token characters is a candidate (``=`` only as padding at its end; a run that fits no
-encoding is cut at ``/``, ``+``, ``-`` and ``_``, and its parts of 16 or more count). Its encoding is inferred (hexadecimal, base 32,
-lower-case base 36, base 62 or base 64), and a battery is run on its characters:
+Patterns find what has a telling form. For the rest, runs of 16 or more token
+characters are tested (``=`` only as padding at their end). A token can stand behind a
+path or a name in its run, so up to three forms of a run are candidates: the whole
+run, its core without the words that ``/``, ``+``, ``-`` and ``_`` set apart at its
+ends, and each part of 16 or more between two of these. The encoding of a candidate is
+inferred (hexadecimal, base 32, lower-case base 36, base 62 or base 64), and a battery
+is run on its characters:
 
 * chi-squared against equal use of the encoding's alphabet,
 * the number of runs above and below the middle of the alphabet,
@@ -19,7 +22,9 @@ controlled by class of length: over all candidates of all documents, the largest
 cut is taken in each class at which at most ``RATE`` of the tokens below it would
 be ordinary (Benjamini-Hochberg). P-values are counted in bins of a tenth of a
 power of ten and enter as the upper end of their bin, so what is gathered stays a
-few hundred rows for any input, and does not depend on how rows are split.
+few hundred rows for any input, and does not depend on how rows are split. All forms
+of a run count as tested. Of a run's discoveries the core is reported, else the whole
+run, else its parts; spans never overlap.
 
 Letters of one case (first letter apart), and digits alone, are words and numbers:
 no encoding is inferred. Null text counts as empty. Repeated rows are scanned each
@@ -28,9 +33,9 @@ by itself, but count as candidates each, too.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -51,7 +56,11 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
-PART = re.compile(r"[A-Za-z0-9]{16,}=*")
+PIECE = re.compile(r"[A-Za-z0-9]+=*")
+WORD = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|(?:[a-z]{2,})?(?:[A-Z][a-z]{2,})+)[0-9]{0,2}|[0-9]+", re.ASCII)
+#: Fewer characters before or behind a core could well be the token's own.
+LEAST_TRIM = 4
+LEAST = 16
 LETTERS = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+", re.ASCII)
 
 # Encodings in the order in which they are tried: name, alphabet, and the sums of
@@ -79,22 +88,34 @@ def upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of the runs; of a run that no alphabet holds, the parts between + / - and _."""
-    spans = []
+def candidates(text: str) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """For each run the spans of its core and of the whole run, and those of its parts."""
+    runs = []
     for m in CANDIDATE.finditer(text):
-        used = set(m[0].rstrip("="))
-        if any(used <= set(alphabet) for _, alphabet, _, _ in ENCODINGS):
-            spans.append(m.span())
-        else:
-            spans += [part.span() for part in PART.finditer(text, *m.span())]
-    return spans
+        start, end = whole = m.span()
+        pieces = [piece.span() for piece in PIECE.finditer(text, *whole)]
+        first, last = 0, len(pieces)
+        while first < last and WORD.fullmatch(text, *pieces[first]):
+            first += 1
+        while first < last and WORD.fullmatch(text, *pieces[last - 1]):
+            last -= 1
+        if first == last:
+            runs.append(([whole], []))
+            continue
+        if pieces[first][0] - start >= LEAST_TRIM:
+            start = pieces[first][0]
+        if end - pieces[last - 1][1] >= LEAST_TRIM:
+            end = pieces[last - 1][1]
+        outer = [whole] if (start, end) == whole else [(start, end), whole]
+        parts = [p for p in pieces[first:last] if p[1] - p[0] >= LEAST and p not in outer]
+        runs.append((outer, parts))
+    return runs
 
 
 def battery(token: str) -> tuple[float, float] | None:
     """P-values of "ordinary" and of "random", or None if no encoding fits."""
     body = token.rstrip("=")
-    if len(body) < 16 or LETTERS.fullmatch(body):
+    if len(body) < LEAST or LETTERS.fullmatch(body):
         return None
     used = set(body)
     for _, alphabet, second, third in ENCODINGS:
@@ -150,31 +171,53 @@ def length_class(n: int) -> int:
     return sum(n >= start for start in CLASSES)
 
 
+def covered(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans in order, overlapping ones merged."""
+    starts, ends = [], []
+    for start, end, _ in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def scan(text: str) -> tuple:
+    """Spans of the patterns, and the tested forms of each run: (core and whole, parts)."""
     base = pattern_spans(text)
-    tokens = []
-    for start, end in candidates(text):
-        if any(s < end and start < e for s, e, _ in base):
-            continue
-        values = battery(text[start:end])
-        if values is not None:
-            ordinary, random = values
-            # the bin's upper end is at least the p-value
-            place = BINS if ordinary <= 0 else min(BINS, int(-10 * math.log10(ordinary)))
-            tokens.append((start, end, length_class(end - start), place, random >= PLAIN))
-    return base, tokens
+    starts, ends = covered(base)
+
+    def tested(spans: list[tuple[int, int]]) -> list[tuple]:
+        rows = []
+        for start, end in spans:
+            after = bisect_right(ends, start)
+            if after < len(starts) and starts[after] < end:
+                continue
+            values = battery(text[start:end])
+            if values is not None:
+                ordinary, random = values
+                # the bin's upper end is at least the p-value
+                place = BINS if ordinary <= 0 else min(BINS, int(-10 * math.log10(ordinary)))
+                rows.append((start, end, length_class(end - start), place, random >= PLAIN))
+        return rows
+
+    runs = [(tested(outer), tested(parts)) for outer, parts in candidates(text)]
+    return base, [run for run in runs if run[0] or run[1]]
+
+
+FORMS = "array<struct<start:int,end:int,class:int,bin:int,random:boolean>>"
 
 
 def with_candidates(text: Column) -> Column:
-    """What one pass over a text finds; ``tokens`` waits for the cuts of all documents."""
+    """What one pass over a text finds; ``runs`` wait for the cuts of all documents."""
 
     @F.pandas_udf(
-        "base array<struct<start:int,end:int,kind:int>>, "
-        "tokens array<struct<start:int,end:int,class:int,bin:int,random:boolean>>"
+        f"base array<struct<start:int,end:int,kind:int>>, runs array<struct<outer:{FORMS},parts:{FORMS}>>"
     )
     def found(batch: pd.Series) -> pd.DataFrame:
         rows = [scan(text) for _, part in text_slices(batch) for text in part]
-        return pd.DataFrame(rows, columns=["base", "tokens"])
+        return pd.DataFrame(rows, columns=["base", "runs"])
 
     return found(text)
 
@@ -205,15 +248,28 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = checkpointed(
         docs.select(
             F.col(id_col).alias("id"), with_candidates(F.col(text_col)).alias("found")
-        ).select("id", "found.base", "found.tokens")
+        ).select("id", "found.base", "found.runs")
     )
+    forms = F.flatten(F.transform("runs", lambda r: F.concat(r["outer"], r["parts"])))
     counted = (
-        scanned.select(F.inline("tokens")).groupBy("class", "bin").count().collect()
+        scanned.select(F.inline(forms)).groupBy("class", "bin").count().collect()
     )  # a few classes times BINS rows
     lowest = cuts([tuple(row) for row in counted])
     least = F.create_map(*[F.lit(x) for kv in (lowest or {-1: 0}).items() for x in kv])
-    chosen = F.filter(
-        "tokens", lambda t: t["random"] & (t["bin"] >= F.coalesce(least[t["class"]], F.lit(BINS + 1)))
+
+    def discovered(forms: Column) -> Column:
+        return F.filter(
+            forms,
+            lambda t: t["random"] & (t["bin"] >= F.coalesce(least[t["class"]], F.lit(BINS + 1))),
+        )
+
+    kept = F.transform(
+        "runs", lambda r: F.struct(discovered(r["outer"]).alias("outer"), discovered(r["parts"]).alias("parts"))
+    )
+    chosen = F.flatten(
+        F.transform(
+            kept, lambda r: F.when(F.size(r["outer"]) > 0, F.slice(r["outer"], 1, 1)).otherwise(r["parts"])
+        )
     )
     spans = F.concat(
         F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"])),
@@ -248,21 +304,3 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         span_list(F.col("spans")).alias("spans"),
         number(3).alias("n_random"),
     )
-
-
-def brute_force(texts: dict[int, str]) -> dict[int, str]:
-    """The same spans without Spark, for tests: every p-value sorted, no pattern prefilter."""
-    kept = {}
-    for key, text in texts.items():
-        kept[key] = scan(text)
-    counts = [(c, b, 1) for _, tokens in kept.values() for _, _, c, b, _ in tokens]
-    lowest = cuts(counts)
-    out = {}
-    for key, (base, tokens) in kept.items():
-        spans = list(base) + [(s, e, 3) for s, e, c, b, r in tokens if r and b >= lowest.get(c, BINS + 1)]
-        out[key] = ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
-    return out
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

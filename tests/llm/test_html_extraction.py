@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stepguard.llm.html_extraction import main_text, page_text, smoothed
+from stepguard.llm.html_extraction import PART_MARKED, main_text, name_weight, page_text, smoothed
 from stepguard.llm.queries import QUERIES
 
 PROSE = "A long paragraph of the article with many words in it, so that its ratio is high. " * 3
@@ -101,3 +101,34 @@ LONG = "A story of many words that is told here at some length, so that its rati
 def test_end_tags_left_out(page, lost):
     text, _, _ = page_text("<html><body>" + page.format(LONG) + "</body></html>")
     assert LONG.strip() in text and lost not in text
+
+
+def test_partly_marked_names_take_from_a_vote_alone():
+    page = f"<article><h1 class='article-header'>Head</h1><p class='share-price'>{PROSE}</p><p id='research search'>Ti.</p></article>"
+    assert text(page) == f"Head {PROSE.strip()} Ti."
+    assert name_weight("p", "share-price") == name_weight("div", "share-price") == PART_MARKED
+    assert name_weight("div", "site-footer") == name_weight("div", "col sidebar") == name_weight("p", "ad") == 0
+    assert name_weight("p", "search") == name_weight("div", "story lead") == 1
+
+
+def test_marked_boxes_in_an_article_go():
+    boxes = ("comment-thread", "user_comments", "ad", "share-bar", "related-links", "newsletter-box")
+    page = "".join(f"<div class='{name}'><p>{PROSE}</p><p>{name}</p></div><p>{i}</p>" for i, name in enumerate(boxes))
+    assert text(f"<article><p>{PROSE}</p>{page}</article>") == f"{PROSE.strip()} 0 1 2 3 4 5"
+
+
+def test_a_main_without_article_is_one_region():
+    assert text(f"<body><main><div>One.</div><div>{PROSE}</div><div>Two.</div></main></body>") == f"One. {PROSE.strip()} Two."
+    page = f"<body><main><div><a href=x>Up</a></div><article><p>{PROSE}</p><div>Ti.</div></article></main></body>"
+    assert text(page) == f"{PROSE.strip()} Ti."
+
+
+def test_ratios_alone_choose_the_region_on_most_pages(spark, folder):
+    """All names and elements weigh the same; only text that isn't shown gives no lines."""
+    pages = [r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    same = sum(page_text(page, weighted=False)[0] == page_text(page)[0] for page in pages if page)
+    assert same >= 0.85 * len(pages)
+
+
+def test_a_page_of_surroundings_alone_is_empty():
+    assert text(f"<body><nav>{PROSE}</nav><div class=ad>{PROSE}</div><footer>{PROSE}</footer></body>") == ""

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from stepguard.llm.common import mixed, text_slices
 
-GRAM = 24
-WINDOW = 48
+GRAM = 12
+WINDOW = 16
 BASE = np.uint64(0x100000001B3)
 NONE = np.uint64(2**64 - 1)
 #: Texts are fingerprinted together in parts of so many characters.

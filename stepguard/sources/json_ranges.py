@@ -25,7 +25,9 @@ BLOCK = 1 << 22
 LOOK_BACK = 1 << 10
 #: Records that are returned together.
 BATCH = 4096
-MOST_TASKS = 50_000
+#: Bytes of ranges that a task reads, where there are more ranges than ``SPREAD`` times the cores.
+TASK_BYTES = 32 * 1024 * 1024
+SPREAD = 4
 
 QUOTE, ESCAPE, COMMA = ord('"'), ord("\\"), ord(",")
 OPEN, CLOSE = [ord(c) for c in "[{"], [ord(c) for c in "]}"]
@@ -159,12 +161,22 @@ def json_ranges(files: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
     )
 
 
+def read_tasks(ranges: int, held: int, spread: int) -> int:
+    """Tasks for so many ranges with so many bytes: a range each, or several where there are many.
+
+    What the driver hears of grows with tasks, and with their square in a shuffle, so
+    their number follows the bytes and not the files, however small these are.
+    """
+    return max(1, min(ranges, max(spread, -(-held // TASK_BYTES))))
+
+
 def read_ranges(spark: SparkSession, path: str, schema: StructType | str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of JSON array files, by ranges of this many bytes."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    ranges = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / range_bytes)), F.lit(0))).first()[0]
+    count = F.coalesce(F.sum(F.ceil(F.col("length") / range_bytes)), F.lit(0))
+    ranges, held = files.agg(count, F.coalesce(F.sum("length"), F.lit(0))).first()
     # a given number of tasks: rows of ranges are small, so Spark would put them together
-    tasks = min(max(int(ranges), 1), MOST_TASKS)
+    tasks = read_tasks(int(ranges), int(held), SPREAD * spark.sparkContext.defaultParallelism)
     cut = json_ranges(files, range_bytes, tasks).repartitionByRange(tasks, "path", "start")
     texts = cut.mapInPandas(_read, "value string")
     return texts.select(F.from_json("value", schema).alias("record")).select("record.*")

@@ -66,3 +66,15 @@ def test_other_documents_are_an_error(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"id": 1, "name": "x" * 100}))
     with pytest.raises(Exception, match="not a JSON array"):
         J.read_ranges(spark, str(tmp_path / "a.json"), SCHEMA, 10).collect()
+
+
+def test_tasks_follow_the_bytes_and_not_the_ranges(spark, tmp_path):
+    """Many small files are read by a few tasks, each record once."""
+    wanted = records(400, 4)
+    for part in range(100):
+        (tmp_path / f"{part}.json").write_text(json.dumps(wanted[part * 4 : part * 4 + 4]))
+    frame = J.read_ranges(spark, str(tmp_path), SCHEMA, 20)
+    same(frame, wanted)
+    assert frame.rdd.getNumPartitions() <= J.SPREAD * spark.sparkContext.defaultParallelism
+    assert J.read_tasks(3, 100, 32) == 3 and J.read_tasks(0, 0, 32) == 1
+    assert J.read_tasks(10**6, 10**6 * 2**15, 32) == 1024

@@ -109,3 +109,19 @@ def test_odd_tables(spark, vectors):
     assert got(H.negative_digest(clashing)) == plain(made_up())
     no_anchor = vectors.filter("vec_id % 100 != 0")
     assert H.negative_digest(no_anchor).count() == 0
+
+
+def test_other_rows_with_the_id_of_an_anchor(spark):
+    """They are negatives if their label differs, positives if only their vector does."""
+    rows = [(100, [1.0, 0.0], 1), (100, [0.5, 0.0], 2), (100, [0.875, 0.0], 1), (101, [0.75, 0.0], 1), (103, [0.25, 0.5], 2)]
+    wanted = []
+    for vector, positives, negatives in (
+        (256, [(100, 224), (101, 192)], [(100, 128), (103, 64)]),
+        (224, [(100, 256), (101, 192)], [(100, 128), (103, 64)]),
+    ):
+        for key, p in positives:
+            fits = [(n, x) for n, x in negatives if 30 * p <= 100 * x <= 90 * p]
+            wanted += [(100, key, rank, n, vector * p, vector * x) for rank, (n, x) in enumerate(fits, 1)]
+    found = got(H.negative_digest(spark.createDataFrame(rows, SCHEMA)))
+    # the third anchor, of label 2, has one positive and negatives of label 1 that are too near
+    assert found == sorted(wanted)

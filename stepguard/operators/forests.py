@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from stepguard.session import checkpointed
 
 EULER = 0.5772156649015329
+#: Rows that a task scores, at most and where there are few.
+TASK_ROWS, FEW_ROWS = 100_000, 2_000
+#: Rows that go through all trees together.
+ROWS_HELD = 256
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double, rows int"
 )
@@ -125,6 +130,57 @@ def fit_isolation_forest(
     return checkpointed(samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA))
 
 
+@dataclass
+class FlatForest:
+    """The nodes of all trees in a row. ``after`` has two places a node, where a row
+    goes that is beyond the threshold and one that is not; a leaf leads to itself."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    after: np.ndarray
+    path: np.ndarray
+    deepest: int
+
+    def path_sums(self, rows: np.ndarray) -> np.ndarray:
+        """The path lengths of each row, added up in the order of the trees."""
+        out = np.zeros(len(rows))
+        if not len(self.roots):
+            return out
+        for first in range(0, len(rows), ROWS_HELD):
+            part = rows[first : first + ROWS_HELD]
+            values, start = part.ravel(), np.arange(len(part)) * part.shape[1]
+            at = np.repeat(self.roots[:, None], len(part), axis=1)
+            for _ in range(self.deepest):
+                below = values.take(start + self.feature.take(at)) <= self.threshold.take(at)
+                at = self.after.take(2 * at + below)
+            out[first : first + ROWS_HELD] = np.add.reduce(self.path.take(at), axis=0)
+        return out
+
+
+def flat_forest(table: pd.DataFrame) -> FlatForest:
+    """From the node table, ordered by tree and node."""
+    here = np.arange(len(table))
+    leaf = table["feature"].to_numpy() < 0
+    roots = np.flatnonzero(table["node"].to_numpy() == 0)
+    offset = here - table["node"].to_numpy()
+    after = np.empty(2 * len(table), dtype=np.int64)
+    for side, name in ((0, "right"), (1, "left")):
+        after[side::2] = np.where(leaf, here, offset + table[name].to_numpy())
+    deepest, level = 0, roots[~leaf[roots]]
+    while len(level):
+        level = np.concatenate([after[2 * level], after[2 * level + 1]])
+        deepest, level = deepest + 1, level[~leaf[level]]
+    feature = np.where(leaf, 0, table["feature"].to_numpy()).astype(np.int64)
+    return FlatForest(roots, feature, table["threshold"].to_numpy(), after, table["path"].to_numpy(), deepest)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in tasks of ``TASK_ROWS`` at most on average, all cores used from a few thousand rows on."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(-(-rows // TASK_ROWS), min(cores, -(-rows // FEW_ROWS)), 1))
+
+
 def score_isolation_forest(
     df: DataFrame, nodes: DataFrame, features: str, out: str = "score"
 ) -> DataFrame:
@@ -135,14 +191,7 @@ def score_isolation_forest(
     sent to every executor once.
     """
     table = nodes.orderBy("tree", "node").toPandas()
-    forest = [
-        tuple(
-            part[c].to_numpy()
-            for c in ("feature", "threshold", "left", "right", "path")
-        )
-        for _, part in table.groupby("tree")
-    ]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(flat_forest(table))
     grown = table.loc[table["node"] == 0, "rows"]
     scale = max(float(expected_depth(grown.mean() if len(grown) else 1.0)[0]), 1e-12)
 
@@ -153,19 +202,10 @@ def score_isolation_forest(
                 yield pd.Series([], dtype=float)
                 continue
             rows = np.array(batch.tolist(), dtype=float)
-            depth = np.zeros(len(rows))
-            for feature, threshold, left, right, path in shared.value:
-                at = np.zeros(len(rows), dtype=np.int64)
-                moving = np.flatnonzero(feature[at] >= 0)
-                while len(moving):
-                    here = at[moving]
-                    below = rows[moving, feature[here]] <= threshold[here]
-                    at[moving] = np.where(below, left[here], right[here])
-                    moving = moving[feature[at[moving]] >= 0]
-                depth += path[at]
-            yield pd.Series(2.0 ** (-depth / max(len(shared.value), 1) / scale))
+            depth = shared.value.path_sums(rows)
+            yield pd.Series(2.0 ** (-depth / max(len(shared.value.roots), 1) / scale))
 
-    return df.withColumn(out, score(F.col(features)))
+    return spread(df).withColumn(out, score(F.col(features)))
 
 
 def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -211,7 +251,7 @@ def fit_random_forest(
 def score_random_forest(
     model: RandomForestClassificationModel, df: DataFrame, features: str, out: str = "score"
 ) -> DataFrame:
-    vectors = df.withColumn("vector", array_to_vector(F.col(features)))
+    vectors = spread(df).withColumn("vector", array_to_vector(F.col(features)))
     scored = model.transform(vectors)
     positive: Column = F.get(vector_to_array("probability"), F.lit(1))
     return scored.withColumn(out, positive).drop(

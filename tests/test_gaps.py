@@ -195,3 +195,33 @@ def test_published_files(spark, tmp_path):
         assert got[str(part)] == (text.count(b"\n"), len(text), hashlib.sha256(text).hexdigest())
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         publish_jsonl(df, f"{tmp_path}/out", F.lit(1), ["id"])
+
+
+def test_all_trees_together_give_the_path_sums_of_each(spark):
+    """Rows go down all trees at once, NaN to the right; sums are those of a walk tree by tree."""
+    from stepguard.operators import forests as fo
+
+    random = np.random.default_rng(3)
+    table = fo.pd.concat([fo.grow_tree(t, random.normal(size=(n, 3)), 1) for t, n in enumerate((64, 1, 2, 40, 64))])
+    rows = random.normal(size=(700, 3))
+    rows[5, 1] = np.nan
+    wanted = np.zeros(700)
+    for _, part in table.groupby("tree"):
+        nodes = part.sort_values("node").to_dict("records")
+        for i, row in enumerate(rows):
+            here = nodes[0]
+            while here["feature"] >= 0:
+                here = nodes[here["left"] if row[here["feature"]] <= here["threshold"] else here["right"]]
+            wanted[i] += here["path"]
+    assert (fo.flat_forest(table).path_sums(rows) == wanted).all()
+    assert (fo.flat_forest(table[:0]).path_sums(rows) == 0).all()
+
+
+def test_scoring_tasks_follow_the_rows(spark):
+    """One large partition among small ones is dealt out again before it is scored."""
+    from stepguard.operators import forests as fo
+
+    rows = spark.range(0, 250_000, 1, 1).union(spark.range(0, 10, 1, 3))
+    held = fo.spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 3 and max(r["count"] for r in held) <= fo.TASK_ROWS
+    assert fo.spread(spark.range(0)).count() == 0

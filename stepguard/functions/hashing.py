@@ -34,8 +34,8 @@ def mixed_integer(base: Column, trial: Column) -> Column:
     return (second * second + base) % MODULUS
 
 
-def mixed_integers(base: int, trial: np.ndarray) -> np.ndarray:
-    """The same numbers as :func:`mixed_integer`, for one base and many trials."""
+def mixed_integers(base: int | np.ndarray, trial: np.ndarray) -> np.ndarray:
+    """The same numbers as :func:`mixed_integer`, for bases and trials as arrays that fit together."""
     first = (base + trial * 40692) % MODULUS
     second = (first * first + 12345) % MODULUS
     return (second * second + base) % MODULUS

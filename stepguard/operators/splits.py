@@ -17,10 +17,8 @@ from stepguard.session import broadcast_if_small
 SPLITS = ["train", "val", "test"]
 # Fixed value: the seed of the published split.
 SEARCH_SEED = 20260725
-#: Blocks of groups in which a trial draws one place each; the factor sets their draws apart.
-TRIAL_BLOCKS, BLOCK_FACTOR = 1024, 2_097_143
-#: Groups of a block that are compared one by one.
-FEW = 6
+#: Groups and trials whose draws are held at a time.
+GROUPS_HELD, TRIALS_HELD = 64, 2048
 
 
 def split_by_share(key: Column, shares: dict[str, float]) -> Column:
@@ -73,34 +71,18 @@ def chronological_split(
 
 
 def chosen_in(base: Column, trial: Column, probability: float) -> Column:
-    """Whether a trial selects the group with this base.
+    """Whether a trial selects the group with this base; every group and trial has a draw of its own."""
+    return mixed_integer(base, trial).cast("double") / F.lit(float(MODULUS)) < F.lit(probability)
 
-    Groups lie on a circle of numbers, in ``TRIAL_BLOCKS`` blocks. For each block a trial
-    draws a place; the block's groups from there on, over the share ``probability`` of the
-    circle, are selected. So each group is selected with that probability, and a trial's
-    sums over a block are differences of running sums.
-    """
-    place = mixed_integer((base % TRIAL_BLOCKS) * BLOCK_FACTOR + 1, trial)
-    return F.pmod(base - place, F.lit(MODULUS)) < int(probability * MODULUS)
-
-
-def _block_sums(rows: np.ndarray, trial: np.ndarray, width: int) -> np.ndarray:
-    """Groups, totals and positives that each trial selects in one block; rows are (base, total, anomaly)."""
-    first = mixed_integers(int(rows[0, 0]) % TRIAL_BLOCKS * BLOCK_FACTOR + 1, trial)
-    if rows.shape[1] <= FEW:  # one comparison a group is less work than three searches
-        sums = np.zeros((3, len(trial)), dtype=np.int64)
-        for base, total, anomaly in rows.T:
-            beyond = base - first
-            chosen = np.where(beyond < 0, beyond + MODULUS, beyond) < width
-            sums += np.array([[1], [total], [anomaly]]) * chosen
-        return sums
-    rows = rows[:, np.argsort(rows[0], kind="stable")]
-    running = np.zeros((3, rows.shape[1] + 1), dtype=np.int64)
-    running[0, 1:] = np.arange(1, rows.shape[1] + 1)
-    running[1:, 1:] = np.cumsum(rows[1:], axis=1)
-    start, end = np.searchsorted(rows[0], first), np.searchsorted(rows[0], first + width)
-    around = np.searchsorted(rows[0], first + width - MODULUS)  # past the end of the circle
-    return running[:, end] - running[:, start] + running[:, around]
+
+def _first_beyond(probability: float) -> int:
+    """The smallest whole number that :func:`chosen_in` doesn't take as a draw."""
+    bound = int(probability * MODULUS)
+    while bound / float(MODULUS) < probability:
+        bound += 1
+    while bound and (bound - 1) / float(MODULUS) >= probability:
+        bound -= 1
+    return bound
 
 
 def trial_scores(
@@ -112,36 +94,34 @@ def trial_scores(
 ) -> DataFrame:
     """Score of each random group selection; lower is better.
 
-    ``groups`` has (base, total, anomaly). Which groups a trial selects follows from
-    :func:`chosen_in`, so no trial is stored. A task orders the groups of a block once and
-    reads every trial's sums from running sums: the work is blocks times trials, not groups
-    times trials, and at most ``trials`` rows leave each task.
+    ``groups`` has (base, total, anomaly). Selections come from a hash of group and trial
+    (:func:`chosen_in`), so no trial has to be stored. A task adds its groups up in three
+    vectors of ``trials`` numbers, some groups and trials at a time, and passes these on, so
+    no row of groups times trials exists and at most ``trials`` rows leave each task.
     """
-    width = int(probability * MODULUS)
+    bound = _first_beyond(probability)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, trial = np.zeros((3, trials), dtype=np.int64), np.arange(trials, dtype=np.int64)
-        block, held = None, []
         for batch in batches:
-            rows = batch[["base", "total", "anomaly"]].to_numpy(np.int64).T
-            ends = np.flatnonzero(np.diff(rows[0] % TRIAL_BLOCKS)) + 1
-            for part in np.split(rows, ends, axis=1):
-                if part.shape[1] and part[0, 0] % TRIAL_BLOCKS != block:
-                    if held:
-                        sums += _block_sums(np.concatenate(held, axis=1), trial, width)
-                    block, held = part[0, 0] % TRIAL_BLOCKS, []
-                held.append(part)
-        if held:
-            sums += _block_sums(np.concatenate(held, axis=1), trial, width)
+            rows = batch[["base", "total", "anomaly"]].to_numpy(np.int64)
+            for first in range(0, len(rows), GROUPS_HELD):
+                part = rows[first : first + GROUPS_HELD]
+                weights = np.vstack([np.ones(len(part), dtype=np.int64), part[:, 1], part[:, 2]])
+                exact = np.float64 if np.abs(weights).sum(axis=1).max() < 2**53 else np.int64
+                weights = weights.astype(exact)
+                for at in range(0, trials, TRIALS_HELD):
+                    held = slice(at, at + TRIALS_HELD)
+                    chosen = mixed_integers(part[:, :1], trial[None, held]) < bound
+                    sums[:, held] += (weights @ chosen.astype(exact)).astype(np.int64)
         found = np.flatnonzero(sums[0])
         yield pd.DataFrame(dict(zip(("groups", "total", "anomaly"), sums[:, found]), trial=found.astype(np.int32)))
 
     # a given number of tasks: few rows are much work here, so Spark must not put them together
-    tasks = min(TRIAL_BLOCKS, groups.sparkSession.sparkContext.defaultParallelism)
+    tasks = groups.sparkSession.sparkContext.defaultParallelism
     partial = (
         groups.select("base", "total", "anomaly")
-        .repartition(tasks, F.col("base") % TRIAL_BLOCKS)
-        .sortWithinPartitions(F.col("base") % TRIAL_BLOCKS)
+        .repartition(tasks)
         .mapInPandas(summed, "groups bigint, total bigint, anomaly bigint, trial int")
     )
     added = partial.groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("groups", "total", "anomaly")])

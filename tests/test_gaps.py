@@ -225,3 +225,15 @@ def test_scoring_tasks_follow_the_rows(spark):
     held = fo.spread(rows).groupBy(F.spark_partition_id()).count().collect()
     assert len(held) >= 3 and max(r["count"] for r in held) <= fo.TASK_ROWS
     assert fo.spread(spark.range(0)).count() == 0
+
+
+def test_a_trial_draws_for_each_group(spark):
+    """Groups whose bases agree in their last digits are selected independently of one another."""
+    groups = spark.range(2).select(
+        (F.col("id") * 1024 + 7).alias("base"), F.lit(1).cast("bigint").alias("total"), F.col("id").alias("anomaly")
+    )
+    both = sp.trial_scores(groups, 4000, 0.3, F.lit(1.0), F.lit(0.5)).count()
+    assert abs(both / 4000 - 0.09) < 0.02
+    bases = np.array([[5], [2_147_483_646]])
+    assert (mixed_integers(bases, np.arange(9)[None])[1] == mixed_integers(2_147_483_646, np.arange(9))).all()
+    assert sp._first_beyond(0.5) == 1_073_741_824 and sp._first_beyond(0.0) == 0

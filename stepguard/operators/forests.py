@@ -229,7 +229,10 @@ def fit_random_forest(
     seed: int = 42,
 ) -> RandomForestClassificationModel:
     """Both labels weigh the same. The depth is the largest that trees can have here,
-    so leaves are pure wherever the rows allow it."""
+    so leaves are pure wherever the rows allow it.
+
+    Each row keeps its node in every tree instead of going down from the root in each pass.
+    """
     weighted = balanced_weight(df, label).select(
         F.col(label).cast("double").alias("label"),
         array_to_vector(F.col(features)).alias("vector"),
@@ -243,6 +246,7 @@ def fit_random_forest(
         maxDepth=depth,
         minInstancesPerNode=1,
         featureSubsetStrategy="sqrt",
+        cacheNodeIds=True,
         seed=seed,
     )
     return forest.fit(weighted)

@@ -237,3 +237,13 @@ def test_a_trial_draws_for_each_group(spark):
     bases = np.array([[5], [2_147_483_646]])
     assert (mixed_integers(bases, np.arange(9)[None])[1] == mixed_integers(2_147_483_646, np.arange(9))).all()
     assert sp._first_beyond(0.5) == 1_073_741_824 and sp._first_beyond(0.0) == 0
+
+
+def test_rows_keep_their_nodes_while_a_forest_grows(spark):
+    from stepguard.operators import forests as fo
+
+    rows = spark.range(200).select((F.col("id") % 3 == 0).alias("gold"), F.array((F.col("id") % 3).cast("double")).alias("x"))
+    model = fo.fit_random_forest(rows, "gold", "x", trees=3, depth=4)
+    assert model.getCacheNodeIds() and model.getNumTrees == 3
+    scored = fo.score_random_forest(model, rows, "x")
+    assert scored.filter((F.col("score") > 0.5) != F.col("gold")).count() == 0

@@ -33,7 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies share five-word shingles with a similarity of 0.8 or more.
+    Near copies share five-word shingles with a similarity of 0.8 or more. Candidates are
+    linked by SimHash and its BK-trees, and by MinHash buckets for what two bits don't reach.
     """
     return near_text.drop_near_copies(docs)
 

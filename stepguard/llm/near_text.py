@@ -1,11 +1,13 @@
 """Near copies of texts: five-word shingles with Jaccard similarity of 0.8 or more.
 
 A text is the set of the 64-bit hashes of its five-word shingles, A to Z in lower
-case; a shorter text is one shingle. Texts that may be similar come from MinHash:
-``BANDS`` buckets per text, each named by ``ROWS`` minima. A pair at 0.8 shares no
-bucket with a chance of ``(1 - 0.8 ** ROWS) ** BANDS`` (2 in a million), a more similar
-one with less. SimHash would need some 13 of 64 bits for most pairs at 0.8, which no
-shard by common bits narrows down.
+case; a shorter text is one shingle. Texts that may be similar come from SimHash as in
+``simhash``: fingerprints that differ in two bits or fewer link, found by BK-trees in
+shards, and what links connect is one bucket. Most pairs at 0.8 differ in more bits (some
+13 of 64), which no shard by common bits narrows down; for these there are MinHash
+buckets beside it, ``BANDS`` per text, each named by ``ROWS`` minima. A pair at 0.8 shares
+no such bucket with a chance of ``(1 - 0.8 ** ROWS) ** BANDS`` (2 in a million), a more
+similar one with less.
 
 No pairs are formed of the members of a bucket: each is linked to the bucket's smallest
 member, and what these links connect is a cluster. All similar pairs lie inside of
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepguard.llm import simhash
 from stepguard.llm.common import lowered_words, mixed, text_slices
 from stepguard.llm.components import components
 from stepguard.session import broadcast_if_small, checkpointed
@@ -83,26 +86,28 @@ def _key(text: str) -> int:
 
 
 def sketch(text: Column) -> Column:
-    """``key`` (equal for texts of equal words), ``size`` of the set and ``buckets``.
+    """``key`` (equal for texts of equal words), ``size`` of the set, ``buckets`` and the SimHash ``print``.
 
     Marked as not deterministic only to keep the optimizer from evaluating it twice.
     """
 
-    @F.pandas_udf("key bigint, size bigint, buckets array<bigint>")
+    @F.pandas_udf("key bigint, size bigint, buckets array<bigint>, print bigint")
     def found(batch: pd.Series) -> pd.DataFrame:
-        keys, sizes, rows = [], [], []
+        keys, sizes, rows, prints = [], [], [], []
         for _, part in text_slices(batch):
             for text in part:
                 hashes = shingles(text)
                 keys.append(_key(text))
                 sizes.append(len(hashes))
                 rows.append(minima(hashes))
+                prints.append(simhash.simhash(text))
         named = buckets(np.array(rows, dtype=np.uint32).reshape(-1, len(FACTORS)))
         return pd.DataFrame(
             {
                 "key": np.array(keys, dtype=np.uint64).view(np.int64),
                 "size": np.array(sizes, dtype=np.int64),
                 "buckets": pd.Series(list(named), dtype=object),
+                "print": np.array(prints, dtype=np.uint64).view(np.int64),
             }
         )
 
@@ -195,9 +200,21 @@ def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield frame(links())
 
 
+def print_buckets(sketches: DataFrame) -> DataFrame:
+    """``key`` and ``bucket``: one bucket for all whose fingerprints links connect."""
+    linked = components(simhash.near_links(sketches.select("print").distinct()))
+    root = F.coalesce("component", "print")
+    return sketches.join(linked.withColumnRenamed("node", "print"), "print", "left").select(
+        "key", F.xxhash64(root, F.lit("print")).alias("bucket")
+    )
+
+
 def clusters(sketches: DataFrame) -> DataFrame:
-    """``key`` and ``cluster`` of all that share a bucket with another, over one row per key."""
-    members = sketches.select("key", F.explode("buckets").alias("bucket"))
+    """``key`` and ``cluster`` of all that share a bucket with another, over one row per key.
+
+    ``sketches`` has ``key``, ``buckets`` and ``print``.
+    """
+    members = sketches.select("key", F.explode("buckets").alias("bucket")).union(print_buckets(sketches))
     shared = members.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
     edges = members.join(shared.select("bucket", "first"), "bucket").select("first", "key").distinct()
     return components(edges).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
@@ -244,11 +261,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sketched.groupBy("key")
         .agg(
             F.min("id").alias("id"), F.count_if(F.col("id").isNull()).alias("nulls"),
-            F.first("size").alias("size"), F.first("buckets").alias("buckets"),
+            F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.first("print").alias("print"),
         )
         .withColumn("id", F.expr("if(nulls > 0, null, id)"))
     )
-    clustered = checkpointed(clusters(firsts.select("key", "buckets")))
+    clustered = checkpointed(clusters(firsts.select("key", "buckets", "print")))
     sized = clustered.join(firsts.select("key", "size", "id"), "key")
     placed = cells(sized.select("key", "cluster", "size")).join(sized.select("key", F.col("id").alias("first")), "key")
     marked = here.select("row", key_id.alias("id"), key_of(text).alias("key"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stepguard.llm import near_text as N
+from stepguard.llm import simhash
 from stepguard.llm.common import lowered_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -159,3 +160,18 @@ def test_buckets_of_similar_sets():
         one, other = (N.buckets(N.minima(x)[None, :]) for x in (a, b))
         missed += not (one == other).any()
     assert missed == 0
+
+
+def test_fingerprints_link_without_a_common_bucket(spark):
+    """Links of two bits, and chains of them, join texts that share no MinHash bucket."""
+    prints = {1: 0, 2: 0b11, 3: 0b1111, 4: 0b111 << 20, 5: -1, 6: -1, 7: 0x5555555555555555}
+    rows = [(key, [100 + key, 200 + key], value) for key, value in prints.items()]
+    frame = spark.createDataFrame(rows, "key long, buckets array<long>, print long")
+    assert sorted((r.key, r.cluster) for r in N.clusters(frame).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
+
+
+def test_sketches_have_the_fingerprint(spark):
+    texts = ["a b c d e f g", "A  b c d e f g", "", None, "one two"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = {r.i: r.print for r in frame.select("i", N.sketch(F.col("text")).alias("s")).select("i", "s.*").collect()}
+    assert [found[i] & (2**64 - 1) for i in range(5)] == [simhash.simhash(t or "") for t in texts]

@@ -8,15 +8,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepguard.session import checkpointed
+from stepguard.operators.trees import GrownForest, grow_forest, in_blocks, mllib_trees, scorer
+from stepguard.session import SMALL_TABLE_BYTES, checkpointed
 
 EULER = 0.5772156649015329
 #: Rows that a task scores, at most and where there are few.
 TASK_ROWS, FEW_ROWS = 100_000, 2_000
+#: Rows to fit from which a random forest grows a tree to a task.
+TREE_ROWS = 100_000
 #: Rows that go through all trees together.
 ROWS_HELD = 256
 NODE_SCHEMA = (
@@ -227,12 +230,18 @@ def fit_random_forest(
     trees: int = 500,
     depth: int = 30,
     seed: int = 42,
-) -> RandomForestClassificationModel:
+) -> RandomForestClassificationModel | GrownForest:
     """Both labels weigh the same. The depth is the largest that trees can have here,
     so leaves are pure wherever the rows allow it.
 
-    Each row keeps its node in every tree instead of going down from the root in each pass.
+    MLlib passes over all rows of all trees for each level. From ``TREE_ROWS`` rows on a
+    task grows a tree, if all rows have at most ``SMALL_TABLE_BYTES`` there: a byte for
+    each feature and one for the label. Both ways draw by the same law, but not the same.
+    In MLlib each row keeps its node in every tree instead of going down from the root in each pass.
     """
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(features)), F.lit(0))).first()
+    if rows >= TREE_ROWS and rows * (size + 1) <= SMALL_TABLE_BYTES:
+        return grow_forest(df, rows, label, features, trees, depth, seed)
     weighted = balanced_weight(df, label).select(
         F.col(label).cast("double").alias("label"),
         array_to_vector(F.col(features)).alias("vector"),
@@ -253,18 +262,26 @@ def fit_random_forest(
 
 
 def score_random_forest(
-    model: RandomForestClassificationModel, df: DataFrame, features: str, out: str = "score"
+    model: RandomForestClassificationModel | GrownForest, df: DataFrame, features: str, out: str = "score"
 ) -> DataFrame:
-    vectors = spread(df).withColumn("vector", array_to_vector(F.col(features)))
-    scored = model.transform(vectors)
-    positive: Column = F.get(vector_to_array("probability"), F.lit(1))
-    return scored.withColumn(out, positive).drop(
-        "vector", "rawPrediction", "probability", "prediction"
-    )
+    """The share of the votes for the positive label.
+
+    The nodes of all trees are sent to every executor once; blocks of rows go down tree by tree.
+    """
+    spark = df.sparkSession
+    trees = model.trees if isinstance(model, GrownForest) else mllib_trees(spark, model)
+    shared = spark.sparkContext.broadcast(scorer(trees, len(model.featureImportances)))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in in_blocks(batches):
+            yield pd.Series(shared.value.probabilities(rows))
+
+    return spread(df).withColumn(out, score(F.col(features)))
 
 
 def feature_importance(
-    model: RandomForestClassificationModel, df: DataFrame, names: list[str]
+    model: RandomForestClassificationModel | GrownForest, df: DataFrame, names: list[str]
 ) -> DataFrame:
     """Importance per feature, largest first; one row per feature of the model."""
     values = [float(v) for v in model.featureImportances.toArray()]

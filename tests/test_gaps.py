@@ -247,3 +247,77 @@ def test_rows_keep_their_nodes_while_a_forest_grows(spark):
     assert model.getCacheNodeIds() and model.getNumTrees == 3
     scored = fo.score_random_forest(model, rows, "x")
     assert scored.filter((F.col("score") > 0.5) != F.col("gold")).count() == 0
+
+
+def test_a_large_table_grows_a_tree_to_a_task(spark, monkeypatch):
+    """The law is that of MLlib's forest: bootstrap rows, 32 bins, random features, pure leaves."""
+    from stepguard.operators import forests as fo
+
+    rows = spark.range(4000).select(
+        F.array(F.rand(1), F.rand(2), (F.col("id") % 2).cast("double")).alias("x")
+    ).withColumn("gold", (F.col("x")[0] > 0.8) & (F.col("x")[1] < 0.5)).cache()
+    old = fo.fit_random_forest(rows, "gold", "x", trees=30)
+    monkeypatch.setattr(fo, "TREE_ROWS", 4000)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grown", "grown")
+    grown = fo.fit_random_forest(rows, "gold", "x", trees=30)
+    assert len(jobs.getJobIdsForGroup("grown")) < 12  # not a job for each level
+    assert isinstance(grown, fo.GrownForest) and grown.getNumTrees == 30
+    assert sum(grown.featureImportances) == pytest.approx(1.0)
+    assert np.allclose(grown.featureImportances.toArray(), old.featureImportances.toArray(), atol=0.06)
+    errors = []
+    for model in (old, grown):
+        scored = fo.score_random_forest(model, rows, "x")
+        errors.append(scored.filter((F.col("score") > 0.5) != F.col("gold")).count())
+    assert max(errors) < 80
+    again = fo.fit_random_forest(rows, "gold", "x", trees=2)
+    assert all(list(a["threshold"]) == list(b["threshold"]) for a, b in zip(again.trees, grown.trees[:2], strict=True))
+    monkeypatch.setattr(fo, "SMALL_TABLE_BYTES", 4000 * 4 - 1)
+    assert not isinstance(fo.fit_random_forest(rows, "gold", "x", trees=2, depth=2), fo.GrownForest)
+
+
+def test_scores_are_those_of_mllib(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from stepguard.operators import forests as fo
+    from stepguard.operators import trees as tr
+
+    rows = spark.range(900).select(
+        F.array(*(F.round(F.rand(i), 2) for i in range(4))).alias("x"), (F.rand(9) < 0.3).alias("gold")
+    ).cache()
+    model = fo.fit_random_forest(rows, "gold", "x", trees=7, depth=9)
+    beside = rows.select("x", F.lit(0)).union(spark.sql("SELECT array(double('NaN'), 0.5D, -1D, 7D), 1"))
+    wanted = model.transform(beside.withColumn("vector", array_to_vector("x"))).select(
+        "x", F.get(vector_to_array("probability"), F.lit(1)).alias("p")
+    )
+    wanted = sorted((str(r.x), r.p) for r in wanted.collect())
+    for nodes, held in ((1024, 32_768), (4, 100), (0, 64)):
+        monkeypatch.setattr(tr, "SET_NODES", nodes)
+        found = tr.scorer(tr.mllib_trees(spark, model), 4)
+        x = [r.x for r in beside.collect()]
+        monkeypatch.setattr(tr, "ROWS_HELD", held)
+        assert sorted(zip(map(str, x), found.probabilities(np.array(x)), strict=True)) == wanted
+    scored = fo.score_random_forest(model, beside, "x")
+    assert sorted((str(r.x), r.score) for r in scored.collect()) == wanted
+
+
+def test_a_grown_tree_splits_while_it_gains():
+    from stepguard.operators import trees as tr
+
+    assert tr.edges(np.array([1.0, 1.0, 1.0])).tolist() == []
+    assert tr.edges(np.array([2.0, 0.0, 0.0])).tolist() == [1.0]
+    assert len(tr.edges(np.arange(1000.0))) == 31
+    random = np.random.default_rng(0)
+    x = random.random((600, 3))
+    y = (x[:, 0] > 0.5).astype(np.uint8)
+    cuts = [tr.edges(x[:, f]) for f in range(3)]
+    tree = tr.grow(tr.BinnedRows(tr.binned(x, cuts, np.uint8), y, cuts), 0, 30, 1)
+    inner = tree["feature"] >= 0
+    weights = tree["weights"].reshape(-1, 2)
+    assert (weights[inner] > 0).all() and (tree["left"][~inner] == -1).all()
+    assert weights[inner] == pytest.approx(weights[tree["left"][inner]] + weights[tree["right"][inner]])
+    for rows in (np.zeros((0, 3)), x[:1]):  # no row, and one
+        few = tr.BinnedRows(tr.binned(rows, cuts, np.uint8), y[: len(rows)], cuts)
+        assert tr.grow(few, 0, 30, 1)["feature"].tolist() == [-1]
+    one = tr.grow(tr.BinnedRows(tr.binned(x, cuts, np.uint8), y, cuts), 0, 0, 1)
+    assert one["feature"].tolist() == [-1]

@@ -148,6 +148,44 @@ def test_probabilities_after_every_word_add_up(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_every_sweep_seats_the_pairs_anew_and_their_tables_go_to_the_parents(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    key, rows = 0, []
+    for i in range(240):
+        while zlib.crc32(str(key).encode()) % 10 == 0:
+            key += 1
+        rows.append((key, " ".join(words[7 * (i % 40) + k * j] for j in range(40) for k in (1, 3))))  # each six times
+        key += 1
+    seats, own = [], P._seat_pairs
+
+    def kept(*args):
+        out = own(*args)
+        seats.append({(r.kind, r.key): r.more for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(P, "COMMON", 0.01)  # all of the words are rare
+    monkeypatch.setattr(P, "_seat_pairs", kept)
+    model, rare, _ = P.learned(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.classes.words == []
+    assert len(seats) == P.BURN_IN + P.SAMPLES and all(seats) and seats[0] != seats[1] != seats[2]
+    pairs = Counter(p for _, text in rows for w in [text.split()] for p in zip(["", *w], [*w, ""], strict=True))
+    distinct = Counter(after for _, after in pairs if after)
+    samples = model.words.samples
+    assert samples[0].customers == sum(distinct.values())
+    hashed = dict(zip(words, P._hashes([w.encode() for w in words]).view(np.int64).tolist(), strict=True))
+    found = {r["hash"]: r for r in rare.collect()}
+    for at, more in enumerate(seats, 1):
+        assert samples[at].customers == samples[0].customers + sum(n for (kind, _), n in more.items() if kind == P.WORD)
+        assert sum(model.context_tables[at]) == sum(b == "" for b, _ in pairs) + sum(
+            n for (kind, _), n in more.items() if kind == P.CLASS_CONTEXT
+        )
+    after = Counter(before for before, _ in pairs)
+    for w in {w for w, _ in pairs if w}:
+        mean = np.mean([after[w] + more.get((P.CONTEXT, hashed[w]), 0) for more in seats[P.BURN_IN :]])
+        row = found[hashed[w]]
+        assert row.log_rest == pytest.approx(math.log10((1 + model.pair_discount * mean) / (1 + row["count"])))
+
+
 def test_word_hashes_are_those_of_spark(spark):
     words = ["", "a", "école", "漢字 and more than thirty-two bytes of it"]
     frame = spark.createDataFrame([(w,) for w in words], "word string")
